@@ -25,7 +25,6 @@ delivery, however often they are repeated. The input's other columns are not rea
 
 from __future__ import annotations
 
-import json
 import uuid
 import zlib
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tracemill.session import hadoop_path
+from tracemill.sources.manifest import Manifest
 
 #: Codes per bitmap container.
 CONTAINER = 65_536
@@ -88,30 +87,8 @@ class SeenStore:
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 256):
         self.spark, self.path = spark, path.rstrip("/")
-        state = self._state()
-        self.shards = state["shards"] if state else shards
-
-    def _state(self) -> dict | None:
-        fs, p = hadoop_path(self.spark, f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, state: dict) -> None:
-        fs, tmp = hadoop_path(self.spark, f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        _, final = hadoop_path(self.spark, f"{self.path}/CURRENT")
-        # FileContext's rename replaces the target in one step.
-        jvm = self.spark.sparkContext._jvm
-        option = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, option)
+        self.manifest = Manifest(spark, path)
+        self.shards = (self.manifest.read() or {}).get("shards", shards)
 
     def _dictionary(self, state: dict | None) -> DataFrame:
         schema = "shard int, ident string, code bigint"
@@ -127,7 +104,7 @@ class SeenStore:
 
     def ingest(self, arrivals: DataFrame, ident: Column, row_id: str, newest: list[str]) -> DataFrame:
         """The ``row_id`` of each arrival that is kept; commits them as seen."""
-        state = self._state()
+        state = self.manifest.read()
         rank = F.struct(*(x for c in newest for x in (F.col(c).isNotNull(), F.col(c))), F.col(row_id))
         best = (
             arrivals.select(ident.alias("ident"), F.col(row_id), *(c for c in dict.fromkeys(newest) if c != row_id))
@@ -162,7 +139,7 @@ class SeenStore:
         self._write(cells, f"cells/{generation}")
         cells = self.spark.read.schema(_CELLS).parquet(f"{self.path}/cells/{generation}")
         self._write(cells.where("bits is not null").select("shard", "container", "bits"), f"seen/{generation}")
-        self._commit({"shards": self.shards, "dict": [*(state or {}).get("dict", []), generation], "seen": generation})
+        self.manifest.commit({"shards": self.shards, "dict": [*(state or {}).get("dict", []), generation], "seen": generation})
         return coded.join(cells.where("code is not null").select("shard", "code"), ["shard", "code"]).select(F.col("row_id").alias(row_id))
 
     def _write(self, df: DataFrame, name: str) -> None:
