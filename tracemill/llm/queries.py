@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import history_index, near_copies
-from tracemill.session import work_path
+from tracemill.llm import history_index, mixing, near_copies, packing, residue
+from tracemill.session import work_path, written
 from tracemill.sources.tables import table
 
 #: Backlog ingests of p1: the batches are taken over in so many steps.
@@ -56,5 +56,41 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("scope").alias("field_name"), "id", F.hex("class_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups)}
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens, counted once and written."""
+    docs = table(spark, sf, "documents")
+    # Long texts sit side by side in the files; spread, no task has them all.
+    docs = docs.select("doc_id", "source", "text").repartition("doc_id")
+    return written(docs.select("doc_id", "source", packing.token_count(F.col("text")).alias("tokens"), mixing.quality_weight(F.col("text")).alias("weight")), "sizes")
+
+
+def p7_placed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf), table(spark, sf, "pack_sizes"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    packs = table(spark, sf, "pack_sizes")
+    return packing.report(written(p7_placed(spark, sf), "placed"), packs)
+
+
+def p8_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
+    return docs.where(residue.residue_kind(F.col("text")) != "").select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with residue, by its kind."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
+    return docs.select("doc_id", residue.residue_kind(F.col("text")).alias("kind")).where("kind <> ''").groupBy("kind").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p7_placed, p7_report, p8_chosen, p8_shares, p9_found, p9_kinds)}
 ORACLE: dict[str, str] = {}
