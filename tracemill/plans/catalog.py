@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.plans import training_core
+from tracemill.plans import behavior, content, experiments, sequences, training_core
 
-MODULES = [training_core]
+MODULES = [training_core, behavior, experiments, sequences, content]
 
 
 def queries() -> dict:
