@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.plans import behavior, content, experiments, sequences, training_core
+from tracemill.plans import behavior, content, experiments, flows, sequences, training_core
 
-MODULES = [training_core, behavior, experiments, sequences, content]
+MODULES = [training_core, behavior, experiments, sequences, content, flows]
 
 
 def queries() -> dict:
