@@ -90,8 +90,9 @@ def merge_ragged(ids: Column, offsets: Column, more_ids: Column, more_offsets: C
 
 def tail_slice(values: Column, n: Column) -> Column:
     """Without the first element, the last n."""
-    rest = F.slice(values, 2, F.size(values))
-    return F.when(n > 0, F.slice(rest, -F.least(n, F.size(rest)), F.least(n, F.size(rest)))).otherwise(F.slice(rest, 1, 0))
+    rest = F.slice(values, 2, F.greatest(F.size(values), F.lit(1)))
+    take = F.least(n, F.size(rest))
+    return F.when(take > 0, F.slice(rest, -F.greatest(take, F.lit(1)), F.greatest(take, F.lit(1)))).otherwise(F.slice(rest, 1, 0))
 
 
 def length_quarter(length: Column, longest: Column) -> Column:

@@ -33,7 +33,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 1), line. Each file is read whole, as line numbers need it; the files are read in parallel."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
     return text.select("path", F.posexplode("l").alias("p", "line")).select("path", (F.col("p") + 1).alias("line_no"), "line")
 
 
@@ -86,7 +86,7 @@ def typed_csv(spark: SparkSession, path: str, text_columns: set[str]) -> DataFra
 
 def glob_records(spark: SparkSession, pattern: str, group: str) -> DataFrame:
     """group, record of every JSON file matched by a glob; ``group`` is a regex whose first group is taken from the path."""
-    text = spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("p"), "value")
+    text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
     return text.select(F.regexp_extract("p", group, 1).alias("group"), strict_json(F.col("value")).alias("record"))
 
 
