@@ -27,6 +27,8 @@ LIKE_NUM, LIKE_DEN = 3, 5
 POSITIONS, SKETCH = 320, 256
 #: Bits of 256 that must agree: at a likeness of 0.6 the mean is 204.8 and the standard deviation 6.4, so this is 4.7 deviations below.
 SKETCH_AGREE = 175
+#: The same for one word of 64: mean 51.2, deviation 3.2; a pair at exactly 0.6 stays under it with a probability of 3e-5.
+WORD_AGREE = 38
 #: Bands of the history index: 80 of 4 positions miss a pair at exactly 0.6 with a probability of 1.5e-5.
 BAND_ROWS, BANDS = 4, 80
 #: Deletion variants: 25 segments of 5 positions, one of them wild; a pair at exactly 0.6 is missed with a probability of 3.5e-5.

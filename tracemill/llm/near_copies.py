@@ -26,21 +26,27 @@ from tracemill.session import checkpointed, written
 
 
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts: scope, tid, text, features and keys; members: scope, tid, id) of rows (scope, id, text)."""
+    """(texts: scope, tid, digest, text, features and keys; members: scope, tid, id) of rows (scope, id, text).
+
+    ``tid`` is a number that the written table gives each distinct text; ``digest`` names
+    the text itself. Long keys are what the wide stages shuffle, so they carry the number.
+    """
     plain = rows.select("scope", "id", likeness.plain(F.col("text")).alias("text")).where("id is not null and length(text) >= 5")
-    plain = plain.withColumn("tid", likeness.text_id(F.col("scope"), F.col("text")))
-    members = written(plain.select("scope", "tid", "id").distinct(), "members")
-    texts = plain.groupBy("scope", "tid").agg(F.first("text").alias("text"))
-    texts = texts.withColumn("f", likeness.deletion_features(F.col("text"))).select("scope", "tid", "text", "f.*")
-    return written(texts, "texts"), members
+    plain = plain.withColumn("digest", likeness.text_id(F.col("scope"), F.col("text")))
+    texts = plain.groupBy("scope", "digest").agg(F.first("text").alias("text"))
+    texts = texts.withColumn("f", likeness.deletion_features(F.col("text"))).select("scope", F.monotonically_increasing_id().alias("tid"), "digest", "text", "f.*")
+    texts = written(texts, "texts")
+    members = plain.select("scope", "digest", "id").distinct().join(texts.select("scope", "digest", "tid"), ["scope", "digest"])
+    return texts, written(members.select("scope", "tid", "id"), "members")
 
 
 def like_texts(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct like texts of one scope, a < b."""
-    keys = texts.select("scope", "tid", "runs", F.explode("keys").alias("key")).select("tid", "runs", F.xxhash64("scope", "key").alias("key"))
+    keys = texts.select("scope", "tid", "s0", F.explode("keys").alias("key")).select(F.xxhash64("scope", "key").alias("key"), "tid", "s0")
     x, y = keys.alias("x"), keys.alias("y")
-    sizes = (likeness.LIKE_DEN * F.least("x.runs", "y.runs")) >= (likeness.LIKE_NUM * F.greatest("x.runs", "y.runs"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tid") < F.col("y.tid")) & sizes)
+    # The first word of the sketch travels with the key: most chance meetings end inside the join.
+    near = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) <= 64 - likeness.WORD_AGREE
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tid") < F.col("y.tid")) & near)
     pairs = written(pairs.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct(), "pairs")
     return written(likeness.verified(pairs, texts, texts), "like")
 
@@ -57,7 +63,7 @@ def like_ids(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def text_classes(texts: DataFrame, links: DataFrame) -> DataFrame:
-    """(tid, class_id): connected components of like texts; class_id is the least tid.
+    """(tid, class_id): connected components of like texts; class_id is the least digest of the class.
 
     Each round takes every text's least neighbour label and then the label's own
     label (pointer jumping), so the rounds grow with the logarithm of the longest
@@ -74,5 +80,6 @@ def text_classes(texts: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("a", "label")
         if not moved:
             break
-    own = texts.select("tid").join(labels, F.col("tid") == F.col("a"), "left")
-    return own.select("tid", F.coalesce("label", "tid").alias("class_id"))
+    own = texts.select("tid", "digest").join(labels, F.col("tid") == F.col("a"), "left").select("tid", "digest", F.coalesce("label", "tid").alias("label"))
+    names = own.groupBy("label").agg(F.min("digest").alias("class_id"))
+    return own.join(names, "label").select("tid", "class_id")
