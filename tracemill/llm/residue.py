@@ -127,17 +127,17 @@ def normalised(text: str) -> str:
 def unquoted(text: str) -> str:
     """Quotations within other words are blanked out; a text that is all quotation stays."""
     out = _QUOTED.sub(lambda m: "\u0001" if len(m[0]) > 2 else m[0], text)
-    return out if len(_LETTER.findall(out[:4000])) > 8 or len(out) > 4000 else text
+    return out if len(_LETTER.findall(out[:4000])) > 3 or len(out) > 4000 else text
 
 
 def is_repetition(text: str) -> bool:
-    """Some unit of 2 to 16 characters, with letters, follows itself three times or more over at least 12 characters."""
+    """Some unit of 2 to 16 characters, with letters, fills a passage: four times or more in a row, long units three times."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     for p in range(2, 17):
-        if len(cp) < 4 * p or len(cp) < 12:
+        if len(cp) < 3 * p or len(cp) < 12:
             break
         same = cp[p:] == cp[:-p]
-        need = max(3 * p, 12 - p)
+        need = max(3 * p, 12 - p) if p < 5 else max(2 * p, 16)
         if np.count_nonzero(same) < need:
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
