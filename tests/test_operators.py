@@ -181,7 +181,7 @@ def test_logs(spark, tmp_path):
     (tmp_path / "arr.json").write_text(json.dumps([{"a": 1}, {"a": None}]))
     assert logs.json_array(spark, str(tmp_path / "arr.json"), "a int").count() == 2
     h = logs.file_hashes(spark, str(tmp_path / "c.csv")).first()
-    assert h.bytes == 16 and h.sha256 == h.text_sha256
+    assert h.bytes == 15 and h.sha256 == h.text_sha256
     out = str(tmp_path / "out")
     logs.write_new(spark.range(3), out)
     with pytest.raises(Exception):
