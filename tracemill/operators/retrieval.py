@@ -36,20 +36,24 @@ def postings(docs: DataFrame, doc: str, fields: dict[str, float], tokens=latin_t
 def bm25(docs: DataFrame, doc: str, fields: dict[str, float], queries: DataFrame, k: int, tokens=latin_tokens) -> DataFrame:
     """query_id, doc, score, hit_rank: the k best documents of each query; ties by doc.
 
-    ``queries`` has query_id, term. Only postings of query terms are kept, by a join on
-    the term. Scores are rounded to six digits before ranking, so that ties are ties.
+    ``queries`` has query_id, term; a query's terms are gathered, a few words each.
+    Queries with the same terms are scored once. Only postings of query terms are kept, by
+    a join on the term. Scores are rounded to six digits before ranking, so that ties are
+    ties.
     """
     post, sizes = postings(docs, doc, fields, tokens)
     stats = sizes.agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size"))
-    asked = queries.select("query_id", "term").distinct()
+    sets = queries.where("term is not null").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn("set_id", F.sha2(F.to_json("terms"), 256))
+    asked = sets.groupBy("set_id").agg(F.first("terms").alias("terms")).select("set_id", F.explode("terms").alias("term"))
     hits = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     scored = hits.join(df, "term").join(sizes, "doc").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(IDF_FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    total = scored.select("term", "doc", part.alias("part")).join(asked, "term").groupBy("query_id", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return total.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
+    total = scored.select("term", "doc", part.alias("part")).join(asked, "term").groupBy("set_id", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    w = Window.partitionBy("set_id").orderBy(F.desc("score"), "doc")
+    best = total.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
+    return best.join(sets.select("query_id", "set_id"), "set_id").select("query_id", "doc", "score", "hit_rank")
 
 
 def dense_top(df: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 4096) -> DataFrame:
