@@ -58,8 +58,8 @@ def promoted(mask: Column) -> Column:
 class FieldLog:
     """Changes between the successive files of each series.
 
-    ``cells`` has series, seq, entry, row_no, field, value (canonical JSON text,
-    NULL for null) and bit, a row for every member of every valid record;
+    ``cells`` has series, seq, entry, row_no, field, value (digest of the canonical
+    JSON text, NULL for null) and bit, a row for every member of every valid record;
     ``files`` has series, seq of every file, also of those without a valid record.
 
     Defined results: a file exists when any row of it exists; rows whose record is
@@ -82,35 +82,43 @@ class FieldLog:
 
     def changes(self) -> DataFrame:
         """series, seq, drift_kind, old_field, new_field."""
-        fields, chain = self.fields(), self.chain()
+        # Tables of a row for each field or file are written: many branches read them.
+        fields, chain = written(self.fields(), "fields"), written(self.chain(), "chain")
         later = chain.withColumnRenamed("prev_seq", "_p")
         new = fields.join(chain, ["series", "seq"]).select("series", "seq", "field", F.lit(1).alias("is_new"), F.lit(0).alias("is_old"))
         nxt = later.select("series", F.col("_p").alias("seq"), F.col("seq").alias("next_seq"))
         old = fields.join(nxt, ["series", "seq"]).select("series", F.col("next_seq").alias("seq"), "field", F.lit(0).alias("is_new"), F.lit(1).alias("is_old"))
-        sides = new.unionByName(old).groupBy("series", "seq", "field").agg(F.max("is_new").alias("n"), F.max("is_old").alias("o"))
+        sides = written(new.unionByName(old).groupBy("series", "seq", "field").agg(F.max("is_new").alias("n"), F.max("is_old").alias("o")), "sides")
         gone = sides.where("n = 0").select("series", "seq", F.col("field").alias("old_field"))
         came = sides.where("o = 0").select("series", "seq", F.col("field").alias("new_field"))
-        renamed = self._renames(gone, came, chain)
+        renamed = written(self._renames(gone, came, chain), "renamed")
         removed = gone.join(renamed, ["series", "seq", "old_field"], "left_anti").withColumn("new_field", F.lit(""))
         added = came.join(renamed, ["series", "seq", "new_field"], "left_anti").withColumn("old_field", F.lit(""))
         kind = lambda df, name: df.select("series", "seq", F.lit(name).alias("drift_kind"), "old_field", "new_field")
         return kind(renamed, "renamed").unionByName(kind(removed, "removed")).unionByName(kind(added, "added")).unionByName(kind(self._retypes(fields, sides), "retyped"))
 
     def _renames(self, gone: DataFrame, came: DataFrame, chain: DataFrame) -> DataFrame:
-        w = Window.partitionBy("series", "seq", "entry").orderBy(F.col("row_no").desc())
-        cells = self.cells.where("entry is not null").withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r", "row_no")
-        entries = cells.select("series", "seq", "entry").distinct()
+        # Only neighbours that lost and gained fields matter, and of their cells only those fields'.
+        both = gone.select("series", "seq").distinct().join(came.select("series", "seq").distinct(), ["series", "seq"])
+        steps = chain.join(both, ["series", "seq"])
+        files = steps.select("series", "seq").unionByName(steps.select("series", F.col("prev_seq").alias("seq"))).distinct()
+        cells = self.cells.where("entry is not null").join(files, ["series", "seq"], "left_semi")
+        holds = written(cells.groupBy("series", "seq", "entry").agg(F.max("row_no").alias("row_no")), "holds")
+        holding = ["series", "seq", "entry", "row_no"]
         # Values of vanished fields by entry, moved to the later file's number, where the entry exists in both.
+        lost = gone.join(steps, ["series", "seq"]).select("series", F.col("prev_seq").alias("seq"), F.col("old_field").alias("field"), F.col("seq").alias("next_seq"))
         before = (
             cells.where("value is not null")
-            .select("series", F.col("seq").alias("prev_seq"), "entry", F.col("field").alias("old_field"), F.col("value").alias("old_value"))
-            .join(chain, ["series", "prev_seq"])
-            .join(gone, ["series", "seq", "old_field"], "left_semi")
-            .join(entries, ["series", "seq", "entry"], "left_semi")
+            .join(lost, ["series", "seq", "field"])
+            .join(holds, holding, "left_semi")
+            .select("series", F.col("next_seq").alias("seq"), "entry", F.col("field").alias("old_field"), F.col("value").alias("old_value"))
+            .join(holds.select("series", "seq", "entry"), ["series", "seq", "entry"], "left_semi")
+            .distinct()
         )
         totals = before.groupBy("series", "seq", "old_field").agg(F.count("*").alias("n"))
-        after = cells.where("value is not null").select("series", "seq", "entry", F.col("field").alias("new_field"), F.col("value").alias("old_value"))
-        after = after.join(came, ["series", "seq", "new_field"], "left_semi")
+        gained = came.join(both, ["series", "seq"], "left_semi").select("series", "seq", F.col("new_field").alias("field"))
+        after = cells.where("value is not null").join(gained, ["series", "seq", "field"], "left_semi").join(holds, holding, "left_semi")
+        after = after.select("series", "seq", "entry", F.col("field").alias("new_field"), F.col("value").alias("old_value")).distinct()
         # Equality on the value: only agreeing pairs of fields come out of the join.
         hits = before.join(after, ["series", "seq", "entry", "old_value"]).groupBy("series", "seq", "old_field", "new_field").agg(F.count("*").alias("hits"))
         ok = (F.col("n") >= RENAME_ENTRIES) & (F.col("hits") >= RENAME_SHARE * F.col("n"))
@@ -140,7 +148,8 @@ def field_cells(df: DataFrame, series: str, seq: str, entry: Column, row_no: str
         "series", "seq", "entry", "row_no", F.col("m.key").alias("field"), F.when(~absent(F.col("m.value")), F.to_json("m.value")).alias("value")
     )
     # Parsed once: every later step reads the written members, not the records.
-    cells = written(cells.withColumn("bit", type_bit(json_type(F.col("value")))), "cells")
+    cells = cells.withColumn("bit", type_bit(json_type(F.col("value")))).withColumn("value", F.unhex(F.md5("value")))
+    cells = written(cells, "cells")
     return FieldLog(cells, base.select("series", "seq"))
 
 
