@@ -118,7 +118,7 @@ def _by_step(df: DataFrame, step: str, order: str, size: str, f, columns: str) -
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o", kind="stable")
+        rows = rows.sort_values(["o", "s"], kind="stable")
         got = f([int(x) for x in rows["s"]])
         out = pd.DataFrame(got, columns=names, index=rows.index) if got and isinstance(got[0], tuple) else pd.DataFrame({names[0]: got}, index=rows.index)
         return pd.concat([rows[["k", "o"]], out], axis=1)

@@ -43,7 +43,7 @@ def rank_schedule(spark, sf):
     return balance.schedule(_step_lines(spark, sf), "l_suppkey", "seq", "len", 4, 512)
 
 
-@query("""with recursive n as (select l_suppkey, l_partkey * 10000000 + l_orderkey as seq, l_quantity::bigint as len, row_number() over (partition by l_suppkey order by l_partkey, l_orderkey) as i from lineitem),
+@query("""with recursive n as (select l_suppkey, l_partkey * 10000000 + l_orderkey as seq, l_quantity::bigint as len, row_number() over (partition by l_suppkey order by l_partkey, l_orderkey, l_quantity) as i from lineitem),
 r(l_suppkey, seq, i, chunk_no, total) as (select l_suppkey, seq, i, 0, len from n where i = 1 union all select n.l_suppkey, n.seq, n.i, case when r.total >= 100 then r.chunk_no + 1 else r.chunk_no end, case when r.total >= 100 then n.len else r.total + n.len end from r join n on n.l_suppkey = r.l_suppkey and n.i = r.i + 1)
 select l_suppkey, seq, chunk_no from r""")
 def byte_chunks(spark, sf):
