@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import delivery, drift, history, nested
@@ -93,7 +93,23 @@ def p6_history(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ledger_row", "pos1", "element.proposal_checkpoint", "element.evaluation_checkpoint", "element.intervention_id", F.round("element.estimated_effect", 6).alias("estimated_effect"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_union_types, p2_uniform, p3_found, p3_current, p4_found, p4_replay, p6_found, p6_hits, p6_steps, p6_history)}
+def episode_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Per delivery its steps, invalid ones, searches and token totals; a delivery without steps has no row."""
+    rows = p6_steps(spark, sf)
+    return rows.groupBy("delivery_id").agg(
+        F.count("*").alias("steps"), F.count_if(F.col("valid") == False).alias("invalid"), F.count_if(F.col("action").startswith("search[")).alias("searches"),  # noqa: E712
+        F.sum("total_tokens").alias("tokens"), F.round(F.try_divide(F.sum("total_tokens").cast("double"), F.count("total_tokens")), 6).alias("tokens_per_step"),
+    )
+
+
+def page_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """How often one page type follows another within a delivery."""
+    w = Window.partitionBy("delivery_id").orderBy("pos1")
+    rows = p6_steps(spark, sf).where("page_type is not null").withColumn("before", F.lag("page_type").over(w)).where("before is not null")
+    return rows.groupBy(F.concat_ws("->", "before", "page_type").alias("transition")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (episode_rollup, page_transitions, p2_found, p2_union_types, p2_uniform, p3_found, p3_current, p4_found, p4_replay, p6_found, p6_hits, p6_steps, p6_history)}
 
 _STATES = """
 r as (select run_id, skill_id, snapshot_no, version, enabled,
@@ -139,7 +155,14 @@ side as (select n.run_id, n.round_no, f.field, max(case when f.round_no = n.roun
          from n join f on f.run_id = n.run_id and f.round_no in (n.round_no, n.prev) where n.prev is not null group by all)
 """
 
+_STEPS = f"""{_TRACES}, sp as (select delivery_id, pos1, s->>'$.action' as action, try_cast(s->>'$.model.usage.total_tokens' as bigint) as tokens,
+ try_cast(s->>'$.environment.action_feedback.valid' as boolean) as valid, s->>'$.environment.observation_state.page_type' as page_type from st where json_type(s) <> 'NULL')"""
+
 ORACLE = {
+    "episode_rollup": f"""with {_STEPS} select delivery_id, count(*)::bigint as steps, count(*) filter (valid = false)::bigint as invalid, count(*) filter (starts_with(action, 'search['))::bigint as searches,
+sum(tokens)::bigint as tokens, round(sum(tokens)::double / nullif(count(tokens), 0), 6) as tokens_per_step from sp group by 1""",
+    "page_transitions": f"""with {_STEPS}, l as (select page_type, lag(page_type) over (partition by delivery_id order by pos1) as before from sp where page_type is not null)
+select before || '->' || page_type as transition, count(*)::bigint as n from l where before is not null group by 1""",
     "p2_found": f"""with {_CELLS},
 e as (select run_id, round_no, entry, field, case when json_type(val) = 'NULL' then null else val::varchar end as val from w
       where entry is not null qualify rank() over (partition by run_id, round_no, entry order by pool_row desc) = 1),
