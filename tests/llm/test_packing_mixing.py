@@ -141,3 +141,17 @@ def test_ranges_agree_with_one_sorted_list(spark, monkeypatch):
 def test_empty_mix(spark):
     chosen, shares = mixed(spark, [], [("s", 1.0, 1)])
     assert chosen == {} and shares["s"].used_tokens == 0
+
+
+def test_weight_looks_at_the_whole_text(spark):
+    opening = "".join(chr(0x4E00 + i) for i in range(256))
+    texts = [opening * 2, opening + "a" * 256, opening + "a" * 100_000, "abab", "", "\n" * 10, "😀b" * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.w for r in df.orderBy("i").select(mx.quality_weight(F.col("t")).alias("w")).collect()]
+
+    def brute(t):
+        variety = sum(len(set(t[a : a + 256])) for a in range(0, len(t), 256)) / max(1, len(t))
+        return 0.25 + min(len(t) / 2000, 1) + 0.75 * variety
+
+    assert got == pytest.approx([brute(t) for t in texts])
+    assert got[0] > got[1] + 0.3

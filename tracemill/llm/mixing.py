@@ -44,11 +44,13 @@ def source_name(c: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """A weight from 0.25 to 2: long texts of varied characters weigh more.
 
-    Length counts up to 2,000 characters; variety is the share of distinct
-    characters among the first 256, a fixed-size feature of the text, not a cut of it.
+    Length counts up to 2,000 characters; variety is the share of distinct characters
+    in a window of 256, averaged over all the text's consecutive windows by their length.
     """
     length = F.least(F.length(text) / 2000.0, F.lit(1.0))
-    variety = F.size(F.array_distinct(F.split(F.substring(text, 1, 256), ""))) / F.least(F.greatest(F.length(text), F.lit(1)), F.lit(256))
+    windows = F.regexp_extract_all(text, F.lit("(?s)(.{1,256})"), F.lit(1))
+    distinct = F.aggregate(windows, F.lit(0).cast("bigint"), lambda n, w: n + F.size(F.array_distinct(F.split(w, ""))))
+    variety = distinct / F.greatest(F.length(text), F.lit(1))
     return F.lit(0.25) + length + F.lit(0.75) * F.least(variety, F.lit(1.0))
 
 
