@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import written
+
 #: BM25 constants and the floor of the inverse document frequency (fixed values).
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -56,6 +58,66 @@ def bm25(docs: DataFrame, doc: str, fields: dict[str, float], queries: DataFrame
     return best.join(sets.select("query_id", "set_id"), "set_id").select("query_id", "doc", "score", "hit_rank")
 
 
+def bm25_blocks(docs: DataFrame, doc: str, text: str, queries: DataFrame, k: int, tokens=search_tokens, rows: int = 8192, sets: int = 2048) -> DataFrame:
+    """As ``bm25`` over one field, for many long queries: no row per (query, document, term) is made.
+
+    Documents and distinct queries are dealt into blocks; a pair of blocks is scored from
+    the document block's postings, one query's sums at a time, and a query keeps its k
+    best of each. Terms are compared by their xxhash64.
+    """
+    spark, ids = docs.sparkSession, lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    each = written(docs.select(F.col(doc).cast("bigint").alias("doc"), ids(tokens(F.col(text))).alias("t")), "tokens")
+    count = each.count()
+    n_docs = max(1, -(-count // rows))
+    asked = queries.where("term is not null").groupBy("query_id").agg(F.array_sort(F.collect_set(F.xxhash64("term"))).alias("t"))
+    asked = written(asked.withColumn("set_id", F.sha2(F.to_json("t"), 256)), "asked")
+    terms = asked.groupBy("set_id").agg(F.first("t").alias("t")).select("set_id", F.explode("t").alias("term"))
+    n = each.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    idf = F.log((F.lit(count) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    terms = terms.join(n, "term").withColumn("idf", F.when(idf > 0, idf).otherwise(IDF_FLOOR))
+    one = written(terms.groupBy("set_id").agg(F.collect_list(F.struct("term", "idf")).alias("w")).select("set_id", "w.term", "w.idf"), "sets")
+    n_sets = max(1, -(-one.count() // sets))
+    mean = each.agg(F.avg(F.size("t"))).first()[0] or 1.0
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    over = lambda m, name: spark.range(m).select(F.col("id").cast("int").alias(name))
+    left = one.withColumn("q_block", part("set_id", n_sets)).crossJoin(over(n_docs, "d_block"))
+    right = each.where("doc is not null").withColumn("d_block", part("doc", n_docs)).crossJoin(over(n_sets, "q_block"))
+    near = left.groupBy("q_block", "d_block").cogroup(right.groupBy("q_block", "d_block")).applyInPandas(lambda key, q, d: _block_best(q, d, mean, k), "set_id string, doc bigint, score double")
+    w = Window.partitionBy("set_id").orderBy(F.desc("score"), "doc")
+    best = near.withColumn("hit_rank", F.row_number().over(w).cast("bigint")).where(F.col("hit_rank") <= k)
+    return best.join(asked.select("query_id", "set_id"), "set_id").select("query_id", "doc", "score", "hit_rank")
+
+
+def _block_best(q: pd.DataFrame, d: pd.DataFrame, mean: float, k: int) -> pd.DataFrame:
+    """The k best documents of a block for each query of a block."""
+    got: list[tuple] = []
+    if len(q) and len(d):
+        ids, sizes = d["doc"].to_numpy(), d["t"].map(len).to_numpy()
+        term, at = np.concatenate(d["t"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(d)), sizes)
+        order = np.lexsort((at, term))
+        term, at = term[order], at[order]
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])]) if len(term) else np.zeros(0, int)
+        f = np.diff(np.r_[first, len(term)])
+        term, at = term[first], at[first]
+        part = f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[at] / mean))
+        for set_id, terms, idf in zip(q["set_id"], q["term"], q["idf"], strict=True):
+            lo, hi = np.searchsorted(term, terms, "left"), np.searchsorted(term, terms, "right")
+            spans = [slice(a, b) for a, b in zip(lo, hi, strict=True) if a < b]
+            if not spans:
+                continue
+            weight = np.concatenate([part[s] for s in spans]) * np.repeat(np.asarray(idf), hi - lo)
+            total = np.bincount(np.concatenate([at[s] for s in spans]), weight, len(d))
+            hits = np.flatnonzero(total > 0)
+            score = np.round(total[hits], 6)
+            if len(hits) > k:
+                keep = score >= np.partition(score, len(hits) - k)[len(hits) - k]
+                hits, score = hits[keep], score[keep]
+            top = np.lexsort((ids[hits], -score))[:k]
+            got.append((np.full(len(top), set_id, dtype=object), ids[hits[top]], score[top]))
+    out = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0)]
+    return pd.DataFrame(dict(zip(("set_id", "doc", "score"), out, strict=True)))
+
+
 def dense_top(df: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 4096) -> DataFrame:
     """query_id, hit_id, score, hit_rank by inner product, without the query itself; ties by id.
 

@@ -47,6 +47,14 @@ def bm25_documents(spark, sf):
     return rt.bm25(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, q, 150).withColumn("hit_rank", F.col("hit_rank").cast("bigint"))
 
 
+@query()
+def bm25_documents_han(spark, sf):
+    """Every document whose number is divisible by 20 asks with all its tokens; indexed with Latin words and Han pairs."""
+    d = table(spark, sf, "documents")
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(rt.search_tokens(F.col("text"))).alias("term"))
+    return rt.bm25_blocks(d, "doc_id", "text", q, 150)
+
+
 _PART_BM25 = f"""q as (select p_partkey as query_id, unnest(list_distinct({_TOK.format('p_name')})) as term from part where p_partkey % 20 = 0),
 t as (select p_partkey, {_TOK.format('p_name')} as a, {_TOK.format('p_brand')} as b, {_TOK.format('p_type')} as c from part),
 z as (select p_partkey, len(a) + len(b) + len(c) as size from t), st as (select count(*) as n, avg(size) as m from z),
