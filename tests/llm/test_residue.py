@@ -45,3 +45,25 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "Access denied"), (2, None), (3, GOOD), (4, "")], "doc_id bigint, text string")
     assert {x.doc_id: x.k for x in df.select("doc_id", r.residue_kind(F.col("text")).alias("k")).collect()} == {1: "error", 2: "", 3: "", 4: ""}
     assert df.limit(0).select(r.residue_kind(F.col("text"))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"tool":"search","query":"@@brand@@ shaver"}', '{"a": "", "q" : "size {{ size }}", "n": 1}', '{"q":["mug","@@brand@@ mug","cup"]}', '{"{{ key }}":1}',
+        '{"say":"he said \\"hi\\" to {{ name }}"}', '{"long":"' + "word " * 200 + '","q":"{{ name }}"}', '{"q":"' + "mug " * 200 + '{{ name }}"}',
+    ],
+)
+def test_slots_inside_json(text):
+    assert r.found(text) == "slot" and r.found(f"{GOOD}\n{text}\n{GOOD}") == "slot"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'The template says: "{{ price }}", which the renderer fills.', 'Marks such as "@@brand@@", "{{ price }}", "<%= title %>" are filled later.', 'It has "{{ price }}", "@@brand@@" and more.',
+        '{"note":"the mark \\"{{ price }}\\" is filled by the renderer"}', '{"note":"模板中的“{{ price }}”由渲染器填写"}', '{"tool":"open","asin":"A911802","tags":["a","b"]}',
+    ],
+)
+def test_quotations_beside_json(text):
+    assert r.found(f"{GOOD} {text} {GOOD}") == ""

@@ -7,7 +7,8 @@ of one. A document is excluded if any of its passages is residue, or if it has a
 unfilled slot such as ``{{ price }}``, or a run of filler that repeats a short unit.
 
 Spans in quotation marks, back quotes and book-title marks inside a sentence are
-quotations: they are taken out before anything is matched.
+quotations: they are taken out before anything is matched. Keys and values of JSON
+are none: slots are looked for inside them too.
 
 Defined results: null and empty texts are no cases. Whole texts are read, however
 long; matching is linear in the text.
@@ -81,6 +82,11 @@ STRONG_SLOT = re.compile(
 #: Slots in everyday brackets: the name must be one of SLOT_NAMES.
 WEAK_SLOT = re.compile(r"[{<\[]([A-Za-z_一-鿿][\w. ]{0,30})[}>\]]")
 _QUOTED = re.compile(r"“[^“”]{1,600}”|「[^「」]{1,600}」|『[^『』]{1,600}』|《[^《》]{1,200}》|`[^`]{1,200}`|\"[^\"]{1,600}\"")
+#: A string where JSON has one; its own escapes belong to it.
+_JSON = re.compile(r"([{\[,:]\s*)\"((?:[^\"\\]|\\.)*)\"(?=\s*([}\],:]))", re.S)
+_KEYED = re.compile(r"\"\s*:\s*$")
+_INNER = re.compile(r"“[^“”]{1,600}”|「[^「」]{1,600}」|『[^『』]{1,600}』|《[^《》]{1,200}》|`[^`]{1,200}`|\\\"[^\"]{1,600}\\\"")
+_SPAN = re.compile(rf"{_QUOTED.pattern[: _QUOTED.pattern.rindex('|')]}|{_JSON.pattern}|\"[^\"]{{1,600}}\"", re.S)
 _TAG = re.compile(r"</?(?:div|p|br|span|b|i|h[1-6]|a|li|ul|ol|pre|code|section|html|body|title|center|hr)\b[^<>]{0,200}/?>", re.I)
 _ZERO = re.compile("[​‌‍⁠﻿­]")
 _CUT = re.compile(r"(?<=[。！？!?\n])|(?<=\.)(?=\s|$)|(?<=\.\.\.)|(?<=;)")
@@ -130,6 +136,27 @@ def unquoted(text: str) -> str:
     return out if len(_LETTER.findall(out[:4000])) > 3 or len(out) > 4000 else text
 
 
+def json_kept(text: str) -> str:
+    """Quotations are blanked out as in ``unquoted``, but strings of JSON stay, without the quotations inside them."""
+    last = -1
+
+    def one(m: re.Match) -> str:
+        nonlocal last
+        lead = m[1]
+        if lead is None:
+            return "\u0001"
+        mark, at = lead[0], m.start()
+        key = mark in "{," and m[3] == ":"
+        value = mark == ":" and m[3] in ",}" and _KEYED.search(text, max(0, at - 20), at + 1)
+        item = m[3] in ",]" and (mark == "[" or (mark == "," and (m[3] == "]" or not text[last:at].strip())))
+        if key or value or (item and (mark == "[" or last >= 0)):
+            last = m.end()
+            return f'{lead}"{_INNER.sub(chr(1), m[2])}"'
+        return lead + "\u0001" if 0 < len(m[2]) <= 600 else m[0]
+
+    return _SPAN.sub(one, text)
+
+
 def is_repetition(text: str) -> bool:
     """Some unit of 2 to 16 characters, with letters, fills a passage: four times or more in a row, long units three times."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -173,8 +200,9 @@ def found(text: str | None) -> str:
     """Kind of residue in a text: slot, repetition, error, script, filler, or '' for none."""
     if not text:
         return ""
-    t = unquoted(normalised(text))
-    if slot(t):
+    whole = normalised(text)
+    t = unquoted(whole)
+    if slot(json_kept(whole) if t != whole and '"' in whole else t):
         return "slot"
     low = t.casefold()
     done: set[tuple[int, str]] = set()
