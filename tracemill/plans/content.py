@@ -11,6 +11,7 @@ from tracemill.operators import catalog as cat
 from tracemill.operators import components as cc
 from tracemill.operators import episodes as ep
 from tracemill.operators import experiment as ex
+from tracemill.operators import leakage as lk
 from tracemill.operators import retrieval as rt
 from tracemill.operators.nested import strict_json
 from tracemill.plans.experiments import global_rank
@@ -160,6 +161,18 @@ def leakage_firewall(spark, sf):
     return d.select("ledger_row", c.rlike(r"\b(?:chunk|online|cluster)-[0-9a-f]{12,16}\b").alias("has_id"), F.contains(F.lower(c), F.lit("asin")).alias("names_asin"), F.coalesce(F.contains(c, F.col("target_chunk_id")), F.lit(False)).alias("names_target"))
 
 
+@query()
+def leakage_known(spark, sf):
+    """Findings of each whole content: field names, long identifiers, task ids, and any title, brand or gold option that a trace knows."""
+    d = table(spark, sf, "proposal_ledger").where("content is not null").select("ledger_row", "content")
+    c = F.col("content")
+    known = lk.known_terms(table(spark, sf, "traces"), "trace")
+    hits = lk.copied(d, "ledger_row", "content", known).groupBy("ledger_row").agg(*(F.max(F.col("kind") == k).alias(f"copies_{k}") for k in lk.KINDS))
+    rules = d.select("ledger_row", c.rlike(r"(?i)\bASIN\b").alias("mentions_asin"), c.rlike(r"(?U)\b\d{10,}\b").alias("long_identifier"), c.rlike(r"(?iU)\btask[-_ ]?\d+\b").alias("task_id"))
+    out = rules.join(hits, "ledger_row", "left")
+    return out.select(*rules.columns, *(F.coalesce(f"copies_{k}", F.lit(False)).alias(f"copies_{k}") for k in lk.KINDS))
+
+
 _NA = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
