@@ -85,17 +85,11 @@ def group_buffer_stream(spark, sf):
     """The buffer as a stream over the events' file, drained; a group's first 20 members by event number."""
     src = table(spark, sf, "events").select(F.col("user_id").alias("group_id"), F.col("event_id").alias("member"), F.col("value").alias("reward"), F.col("ts").cast("timestamp").alias("ts"))
     folder, out, check = (work_path(spark, n) for n in ("stream-in", "stream-out", "stream-check"))
-    src.write.parquet(folder)
-    take = lambda s: _first_members(flows.group_buffer, s)
-    flows.drain(spark, folder, src.schema, check, out, take)
+    flows.replay(spark, src, folder, check, out, lambda s, hold: flows.held_group_buffer(s, 20, "400 days", hold), "400 days")
     got = spark.read.schema(flows.BUFFER_OUT).parquet(out)
     return got.where("not timed_out").select("group_id", "members", F.round("mean_reward", 6).alias("mean_reward"))
 
 
-def _first_members(buffer, s):
-    return buffer(s, 20, "400 days")
-
-
 @query("""select date_trunc('hour', ts) as start, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2""")
 def windowed_stream(spark, sf):
     """Tumbling hours as a stream with a watermark, in complete mode over one drained file."""
@@ -116,10 +110,9 @@ def windowed_stream(spark, sf):
 def shop_session_stream(spark, sf):
     e = event_steps(table(spark, sf, "events"))
     verb = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "purchase", "buy").otherwise("back")
-    src = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("verb"), F.col("k").cast("string").alias("argument"))
+    src = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("verb"), F.col("k").cast("string").alias("argument"), F.col("ts").cast("timestamp").alias("ts"))
     folder, out, check = (work_path(spark, n) for n in ("shop-in", "shop-out", "shop-check"))
-    src.write.parquet(folder)
-    flows.drain(spark, folder, src.schema, check, out, flows.shop_sessions)
+    flows.replay(spark, src, folder, check, out, flows.held_shop_sessions)
     return spark.read.schema(flows.SESSION_OUT).parquet(out)
 
 
