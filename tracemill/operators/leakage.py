@@ -66,5 +66,8 @@ def copied(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame
     """(key, kind, term): the terms that a text contains. ``key`` need not be unique."""
     anchor: Column = F.array_min(F.transform(_runs(F.col("term")), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run"))))["run"]
     known = terms.select("kind", "term", anchor.alias("_run"))
-    offers = texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), F.explode(_runs(F.col(text))).alias("_run"))
-    return offers.join(known, "_run").where(F.contains("_text", "term")).select(key, "kind", "term").distinct()
+    whole = texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    offers = whole.select(key, F.explode(_runs(F.col("_text"))).alias("_run"))
+    # Many times the texts' own rows, which the optimizer can't see: never broadcast, and without the texts.
+    met = offers.hint("merge").join(known, "_run").select(key, "kind", "term").distinct()
+    return met.join(whole, key).where(F.contains("_text", "term")).select(key, "kind", "term").distinct()
