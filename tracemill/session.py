@@ -29,15 +29,18 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor shares (``spark.checkpoint.dir``).
 
-    Only where the session names none is a local one made; that is the case in
-    tests and single-machine runs.
+    Only a local master, as in tests, may name none and gets one of its own; on a
+    cluster a folder of one machine would lose rows, so that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(root)
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -54,6 +57,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that are deleted together when the ``with`` block ends.
+
+    A result that outlives the block must be written outside it (``written``).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def path(self, name: str) -> str:
+        self.paths.append(work_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            fs, p = hadoop_path(self.spark, path)
+            fs.delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` checkpointed into the shared folder (for small iterated state)."""
     shared_root(df.sparkSession)
