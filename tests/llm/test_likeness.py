@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from tracemill.llm import history_index as hi, likeness as lk, near_copies as nc  # noqa: E402
-from tracemill.session import ship_package, work_path  # noqa: E402
+from tracemill.session import Scratch, ship_package, work_path  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta 商品 核对 预算 尺寸 颜色 退货 warm cold large small".split()
 
@@ -48,22 +48,24 @@ def test_plain_and_runs(spark):
 def test_near_copies_equal_brute_force(spark):
     rows = [("f", f"id{i % 130}", t) for i, t in enumerate(texts(200, 1))] + [("f", "id1", None), ("f", None, "alpha1 beta2 gamma3"), ("f", "idz", "a-b"), ("g", "id1", "same text here"), ("g", "id2", "Same, text HERE")]
     df = spark.createDataFrame(rows, "scope string, id string, text string")
-    t, m = nc.distinct_texts(df)
-    links = nc.like_texts(t)
-    got = {tuple(r) for r in nc.like_ids(links, m).select("scope", "id_a", "id_b").collect()}
-    want = {(s, *p) for s in "fg" for p in brute.like_pairs([(i, x) for q, i, x in rows if q == s])}
-    assert got == want and ("g", "id1", "id2") in got
-    classes = {}
-    for r in m.join(nc.text_classes(t, links), "tid").collect():
-        classes.setdefault(r.class_id, set()).add((r.scope, r.id))
+    with Scratch(spark) as tmp:
+        t, m = nc.distinct_texts(df, tmp)
+        links = nc.like_texts(t, tmp)
+        got = {tuple(r) for r in nc.like_ids(links, m).select("scope", "id_a", "id_b").collect()}
+        want = {(s, *p) for s in "fg" for p in brute.like_pairs([(i, x) for q, i, x in rows if q == s])}
+        assert got == want and ("g", "id1", "id2") in got
+        classes = {}
+        for r in m.join(nc.text_classes(t, links, tmp), "tid").collect():
+            classes.setdefault(r.class_id, set()).add((r.scope, r.id))
     assert any(len(v) > 1 for v in classes.values())
 
 
 def test_near_copies_empty(spark):
     df = spark.createDataFrame([], "scope string, id string, text string")
-    t, m = nc.distinct_texts(df)
-    assert nc.like_ids(nc.like_texts(t), m).count() == 0
-    assert nc.text_classes(t, nc.like_texts(t)).count() == 0
+    with Scratch(spark) as tmp:
+        t, m = nc.distinct_texts(df, tmp)
+        links = nc.like_texts(t, tmp)
+        assert nc.like_ids(links, m).count() == 0 and nc.text_classes(t, links, tmp).count() == 0
 
 
 def lines(seed, n=150):
@@ -72,28 +74,48 @@ def lines(seed, n=150):
     return out
 
 
-@pytest.mark.parametrize("waves", [1, 4])
-def test_history_equals_line_by_line(spark, waves):
+SCHEMA = "batch_no int, ledger_row bigint, candidate_id string, fam string, content string"
+COLUMNS = (["batch_no", "ledger_row"], "ledger_row", "candidate_id", "fam", "content")
+
+
+@pytest.mark.parametrize(("leaders", "one_task", "together"), [(64, 10**6, False), (64, 0, False), (2, 10**6, False), (1, 0, True)])
+def test_history_equals_line_by_line(spark, leaders, one_task, together):
+    """By one task or by rounds, with hot keys or without, batch by batch or as one batch."""
     data = lines(7)
-    df = spark.createDataFrame(data, "batch_no int, ledger_row bigint, candidate_id string, fam string, content string").withColumn("tid", F.lit(1))
-    index = hi.AcceptedIndex(spark, work_path(spark, "accepted"), buckets=4)
-    got, kept = set(), set()
-    for c in hi.backlog_waves(df, "batch_no", waves):
-        a, r = index.ingest(df.where(c).unionByName(df.where(c).limit(2)), ["batch_no", "ledger_row"], "ledger_row", "candidate_id", "fam", "content")
-        got |= {x[0] for x in r.collect()}
-        kept |= {x[0] for x in a.collect()}
-    assert got == brute.refused(data) and kept == {d[1] for d in data} - got
+    df = spark.createDataFrame(data, SCHEMA).withColumn("tid", F.lit(1))
+    index = hi.AcceptedIndex(spark, work_path(spark, "accepted"), buckets=4, leaders=leaders, one_task=one_task)
+    parts = [df] if together else [df.where(F.col("batch_no") == b) for b in range(6)]
+    out = index.ingest([p.unionByName(p.limit(2)) for p in parts], *COLUMNS).collect()
+    assert len(out) == len(data) and {x[0] for x in out if not x[1]} == brute.refused(data)
 
 
 def test_history_empty_and_reopened(spark):
     path = work_path(spark, "accepted")
-    schema = "batch_no int, ledger_row bigint, candidate_id string, fam string, content string"
-    go = lambda data: {r[0] for r in hi.AcceptedIndex(spark, path).ingest(spark.createDataFrame(data, schema), ["batch_no", "ledger_row"], "ledger_row", "candidate_id", "fam", "content")[1].collect()}
+    go = lambda data: {r[0] for r in hi.AcceptedIndex(spark, path).ingest([spark.createDataFrame(data, SCHEMA)], *COLUMNS).where("not accepted").collect()}
     assert go([]) == set()
     assert go([(0, 1, "a", None, "one two three four"), (0, 2, "b", "f", "one two three four")]) == set()
     assert go([(1, 3, "a", None, "quite another text"), (1, 4, "x", None, "One two, three four!"), (1, 5, "y", "g", "one two three four"), (1, 6, None, None, None), (1, 7, None, None, None)]) == {3, 4}
 
 
+def test_history_is_probed_not_read(spark):
+    """What a probe reads depends on its batch, not on the history; runs are merged as they grow."""
+    index = hi.AcceptedIndex(spark, work_path(spark, "accepted"), buckets=2, block=4096)
+    big = texts(1200, 11)
+    frame = lambda ts, at: spark.createDataFrame([(0, at + i, f"n{at + i}", None, t) for i, t in enumerate(ts)], SCHEMA)
+    one = frame([big[0] + " and more words"], 9000)
+    index.ingest([frame(big[:300], 0)], *COLUMNS)
+    assert index.ingest([one], *COLUMNS, measure=True).first()[1] is False
+    small = index.bytes_read[0]
+    index.ingest([frame(big[300:], 300)], *COLUMNS)
+    index.ingest([frame([big[1] + " and more words"], 9100)], *COLUMNS, measure=True)
+    later = index.bytes_read[0]
+    index.ingest([frame(big[:200], 10000)], *COLUMNS, measure=True)
+    assert 0 < later < 3 * small + 64 * 8192 and index.bytes_read[0] > 2 * later
+    index.ingest([frame([f"unrelated words number {i} of the run"], 20000 + i) for i in range(5)], *COLUMNS)
+    assert len(index.state["runs"]) < hi.FANOUT
+    assert index.ingest([one], *COLUMNS).first()[1] is False
+
+
 def test_recall_of_signatures():
     """Pairs at about 0.6 to 0.7: bands, deletion variants and sketches lose none of 400."""
     rnd, lost, n = random.Random(3), 0, 0

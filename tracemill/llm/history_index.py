@@ -1,25 +1,37 @@
 """New batches judged against everything accepted before.
 
-``AcceptedIndex`` is a folder with the accepted lines' keys:
+``AcceptedIndex`` is a folder with three parts:
 
-* ``bands``: minwise band keys, partitioned by a hash of the key. A probe joins on
-  (bucket, key), so a small batch reads only the buckets that it hits;
-* ``texts``: signature sketch and plain text of every accepted text class;
-* ``names``: every accepted candidate name.
+* ``keys``: sorted runs of minwise band keys, partitioned by a hash of the key. A row is
+  (key, number of the text, size, sketch word); accepted names are rows of their own kind;
+* ``texts``: sketch and plain text of every accepted text, in the order of their numbers;
+* ``judged``: the verdict on every line, a folder for each ingest.
 
-Each ingest appends one generation of the three and commits it by one rename; the
-accepted history is probed, never processed again.
+A probe sends the batch's keys to their buckets. The task of a bucket opens only the
+bucket's files, compares its keys with the least and largest key of each block (some
+``BLOCK`` bytes), and reads the blocks that can hold one of them. Only the texts of
+candidates that pass the size and sketch test are fetched, block by block, through the
+number that says where they lie. So what an ingest reads of the history is bounded by
+its own keys and candidates, however long the history is; nothing of the history is
+shuffled but those candidates.
+
+An ingest appends one run. ``FANOUT`` runs of one level are merged into a run of the
+next, so a probe meets a number of runs that grows with the logarithm of the history, and
+each key is rewritten as often. All is committed by one rename.
 
 A line is refused if a line accepted before it has its name, or a like text in its
-scope. Lines are ordered by ``ord``. A backlog of several batches can go in as one
-ingest; the result is the same as line by line:
+scope. Lines are ordered by ``ord``; within a batch:
 
 * lines with one (name, scope, text) are reduced to the first of them by a partial
   aggregate, as no later one can be accepted;
 * names and texts that meet the history are refused;
 * among the rest every line that comes before all undecided lines it conflicts with
-  is accepted, its conflicts are refused, and so on until none is left (the greedy
-  order, by parallel rounds).
+  is accepted, its conflicts are refused, and so on until none is left. That is the
+  greedy order, by parallel rounds or, where a batch has few contested lines, by one task.
+
+A hot band key does not pair its whole group: its first ``LEADERS`` texts meet all, the
+others wait until those are settled. What has been refused by then drops out, and the
+rest goes through the same again, so the result is exact and the pairs stay linear.
 
 Defined results: null equals null as scope; a null name equals no name; a text with
 fewer than five letters and digits is like no text; a line repeated under one line
@@ -28,136 +40,405 @@ number is one line. Only the named columns are read.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import likeness
-from tracemill.session import checkpointed, written
+from tracemill.session import Scratch, hadoop_path
 from tracemill.sources.manifest import Manifest
 
-_BANDS = "bucket int, key bigint, tid binary, runs int"
-_TEXTS = "tid binary, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string"
+#: Bytes of a block of keys or texts, the unit that a probe reads.
+BLOCK = 64 * 1024
+#: Runs of a level that are merged into one of the next.
+FANOUT = 8
+#: Texts of one band key that meet all others at a time.
+LEADERS = 64
+#: Batches made ready, and parts written, at a time.
+AHEAD = 4
+#: Contested lines and links of a batch that one task settles; more are settled in parallel rounds, with the same result.
+ONE_TASK = 200_000
+#: Pairs that a task expands at a time.
+_PAIRS = 2_000_000
+#: A number is generation, writing task and row: bits of the last two.
+_SLOT_BITS, _ROW_BITS = 17, 27
+
+_KEYS = "bucket int, key bigint, num bigint, runs int, word bigint"
+_TEXTS = "num bigint, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string"
+#: What a probe finds: a candidate in the history, one in the batch, a known name, a text that waits, and the bytes it read.
+OLD, NEW, NAME, WAITS, READ = range(5)
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: Callable[[pa.Table], np.ndarray]) -> Iterator[tuple[int, pa.Table]]:
+    """(value, rows) for each run of equal values in sorted batches."""
+    held, value = [], None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not len(rows):
+            continue
+        at = by(rows)
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if value is not None and at[lo] != value:
+                yield value, pa.concat_tables(held)
+                held = []
+            value = int(at[lo])
+            held.append(rows.slice(lo, hi - lo))
+    if held:
+        yield value, pa.concat_tables(held)
+
+
+def _ints(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _blocks(folder: str, column: str, wanted: np.ndarray, columns: list[str]) -> Iterator[tuple[pa.Table, int]]:
+    """(rows, bytes read) of a folder's blocks that can hold one of the sorted wanted values."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    system, inner = pafs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+        if not info.path.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as f:
+            file = pq.ParquetFile(f)
+            meta = file.metadata
+            at = meta.schema.to_arrow_schema().get_field_index(column)
+            for i in range(meta.num_row_groups):
+                group = meta.row_group(i)
+                stats = group.column(at).statistics
+                if stats is not None and stats.has_min_max:
+                    lo, hi = np.searchsorted(wanted, stats.min, "left"), np.searchsorted(wanted, stats.max, "right")
+                    if lo == hi:
+                        continue
+                yield file.read_row_group(i, columns=columns), group.total_byte_size
+
+
+def _expand(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) with j in starts[i] .. starts[i] + counts[i], in pieces of bounded size."""
+    live = np.flatnonzero(counts)
+    ends = np.cumsum(counts[live])
+    at, done = 0, 0
+    while at < len(live):
+        to = max(at + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
+        rows, n = live[at:to], counts[live[at:to]]
+        i = np.repeat(rows, n)
+        j = np.repeat(starts[rows], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield i, j
+        at, done = to, int(ends[to - 1])
+
+
+def _agrees(x_runs, x_word, y_runs, y_word) -> np.ndarray:
+    sizes = likeness.LIKE_DEN * np.minimum(x_runs, y_runs) >= likeness.LIKE_NUM * np.maximum(x_runs, y_runs)
+    return sizes & (x_runs > 0) & (y_runs > 0) & (np.bitwise_count((x_word ^ y_word).view(np.uint64)) <= 64 - likeness.WORD_AGREE)
+
+
+def _prober(folders: list[str], leaders: int):
+    """Probes rows sorted by (bucket, key, ord) against the runs' files of their buckets; without runs, among themselves."""
+
+    def found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), kind, np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_FOUND)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _grouped(batches, lambda t: _ints(t, "bucket")):
+            key, num, runs, word = (_ints(rows, c) for c in ("key", "num", "runs", "word"))
+            n = len(key)
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+            sizes = np.diff(np.concatenate((begins, [n])))
+            place = np.arange(n) - np.repeat(begins, sizes)
+            left = np.repeat(begins + sizes, sizes) - np.arange(n) - 1
+            for i, j in () if folders else _expand(np.arange(n) + 1, np.where(place < leaders, left, 0)):
+                ok = _agrees(runs[i], word[i], runs[j], word[j]) & (num[i] != num[j])
+                yield found(NEW, np.minimum(num[i][ok], num[j][ok]), np.maximum(num[i][ok], num[j][ok]))
+            if not folders:
+                late = num[(place >= leaders) & (runs > 0)]
+                yield found(WAITS, late, late)
+                continue
+            read = 0
+            for folder in folders:
+                for old, size in _blocks(f"{folder}/bucket={bucket}", "key", key, ["key", "num", "runs", "word"]):
+                    read += size
+                    o_key, o_num, o_runs, o_word = (_ints(old, c) for c in ("key", "num", "runs", "word"))
+                    lo, hi = np.searchsorted(o_key, key, "left"), np.searchsorted(o_key, key, "right")
+                    for i, j in _expand(lo, hi - lo):
+                        ok = _agrees(runs[i], word[i], o_runs[j], o_word[j])
+                        yield found(OLD, num[i][ok], o_num[j][ok])
+                        same = (runs[i] == 0) & (o_runs[j] == 0) & (word[i] == o_word[j])
+                        yield found(NAME, key[i][same], word[i][same])
+            yield found(READ, np.array([bucket]), np.array([read]))
+
+    return probe
+
+
+def _fetcher(texts: str):
+    """Texts of the history for pairs sorted by b; pairs whose sketches are too far apart are dropped."""
+    sketch = ["s0", "s1", "s2", "s3"]
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("text_b", pa.string())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, rows in _grouped(batches, lambda t: _ints(t, "b") >> _ROW_BITS):
+            b = _ints(rows, "b")
+            folder = f"{texts}/gen={place >> _SLOT_BITS}/slot={place & (2**_SLOT_BITS - 1)}"
+            for old, _ in _blocks(folder, "num", b, ["num", "runs", *sketch, "text"]):
+                num = _ints(old, "num")
+                lo, hi = np.searchsorted(num, b, "left"), np.searchsorted(num, b, "right")
+                for i, j in _expand(lo, hi - lo):
+                    off = sum(np.bitwise_count((_ints(rows, c)[i] ^ _ints(old, c)[j]).view(np.uint64)).astype(np.int32) for c in sketch)
+                    ok = off <= likeness.SKETCH - likeness.SKETCH_AGREE
+                    yield pa.RecordBatch.from_arrays([pa.array(_ints(rows, "a")[i[ok]]), pa.array(b[i[ok]]), old.column("text").combine_chunks().take(pa.array(j[ok]))], schema=out)
+
+    return fetch
+
+
+def _walker(links: str):
+    """Walks through contested rows in their order; others pass."""
+    out = pa.schema([("name", pa.string()), ("tid", pa.binary()), ("line", pa.int64())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[bytes, list[bytes]] | None = None
+        names, blocked = set(), set()
+        for batch in batches:
+            keep = []
+            for name, tid, contested in zip(*(batch.column(c).to_pylist() for c in ("name", "tid", "contested")), strict=True):
+                free = True
+                if contested:
+                    if near is None:
+                        near = _neighbours(links)
+                    free = name not in names and tid not in blocked
+                    if free:
+                        names |= {name} - {None}
+                        blocked |= {tid, *near.get(tid, ())} - {None}
+                keep.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in out.names], schema=out).filter(pa.array(keep, pa.bool_()))
+
+    return walk
+
+
+def _neighbours(folder: str) -> dict[bytes, list[bytes]]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    system, inner = pafs.FileSystem.from_uri(folder)
+    out: dict[bytes, list[bytes]] = {}
+    for info in system.get_file_info(pafs.FileSelector(inner)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                for row in pq.read_table(f).to_pylist():
+                    out.setdefault(row["t"], []).append(row["u"])
+                    out.setdefault(row["u"], []).append(row["t"])
+    return out
+
+
+def _name_key(column: str):
+    return F.xxhash64(F.lit("name"), column), F.xxhash64(F.lit("check"), column)
 
 
 class AcceptedIndex:
-    """See the module. ``buckets`` is fixed when the store is made."""
+    """See the module. ``buckets`` is fixed when the store is made; a task holds a bucket's keys of one batch."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, block: int = BLOCK, leaders: int = LEADERS, one_task: int = ONE_TASK):
+        self.spark, self.path, self.block, self.leaders, self.one_task = spark, path.rstrip("/"), block, leaders, one_task
         self.manifest = Manifest(spark, path)
-        self.buckets = (self.manifest.read() or {}).get("buckets", buckets)
+        self.state = self.manifest.read() or {"buckets": buckets, "next": 0, "runs": []}
+        self.buckets = self.state["buckets"]
 
-    def _read(self, part: str, schema: str) -> DataFrame | None:
-        state = self.manifest.read()
-        if not state:
-            return None
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*(f"{self.path}/{part}/gen={g}" for g in state["parts"])).drop("gen")
+    def ingest(self, batches: list[DataFrame], order: list[str], line_id: str, name: str, scope: str, text: str, measure: bool = False) -> DataFrame:
+        """(line id, accepted) of every line of the batches, which are taken in one after another.
 
-    def ingest(self, lines: DataFrame, order: list[str], line_id: str, name: str, scope: str, text: str) -> tuple[DataFrame, DataFrame]:
-        """(accepted line ids, refused line ids); the accepted lines are in the index afterwards."""
+        Each batch is probed, judged and committed for itself; what concerns a batch alone
+        (texts, signatures, pairs within it) is made ready ahead, while others are judged.
+        With ``measure`` the bytes of keys that each probe read are left in ``bytes_read``.
+        """
+        first, self.bytes_read = self.state["next"], []
+        with Scratch(self.spark) as tmp, ThreadPoolExecutor(AHEAD) as pool:
+            ready = [pool.submit(self._prepare, tmp, lines, first + i, order, line_id, name, scope, text) for i, lines in enumerate(batches)]
+            for i, batch in enumerate(ready):
+                self._take(tmp, pool, first + i, *batch.result(), measure)
+                ready[i] = None
+        gens = range(first, first + len(batches))
+        out = self.judged(*gens) if batches else self.judged().limit(0)
+        return out.select(F.col("line").alias(line_id), "accepted")
+
+    def _prepare(self, tmp: Scratch, lines: DataFrame, gen: int, order: list[str], line_id: str, name: str, scope: str, text: str) -> tuple[DataFrame, ...]:
+        """(line numbers, nodes, classes, pairs found within the batch, links among its texts, their folder if one task can settle them)."""
         plain = likeness.plain(F.col(text))
         rows = lines.select(
             F.struct(*(F.col(c) for c in order)).alias("ord"), F.col(line_id).alias("line"), F.col(name).alias("name"), F.col(scope).alias("scope"),
             F.when(F.length(plain) >= likeness.RUN, plain).alias("text"),
         )
         rows = rows.withColumn("tid", F.when(F.col("text").isNotNull(), likeness.text_id(F.col("scope"), F.col("text"))))
-        ids = rows.select("line").distinct()
         # A nameless line without a text can't conflict; it keeps its own number so that none is merged.
         lone = F.when(F.col("name").isNull() & F.col("tid").isNull(), F.col("line"))
-        nodes = rows.select("name", "tid", lone.alias("lone"), "ord", "line").groupBy("name", "tid", "lone").agg(F.min(F.struct("ord", "line")).alias("first"))
-        nodes = written(nodes.select("name", "tid", "first.ord", "first.line"), "nodes")
-        classes = rows.where("tid is not null").groupBy("tid").agg(F.first("scope").alias("scope"), F.first("text").alias("text"))
-        classes = written(classes.withColumn("f", likeness.band_features(F.col("text"))).select("tid", "scope", "text", "f.*"), "classes")
-        bands = classes.select("tid", "runs", F.explode("keys").alias("k"), "scope").select("tid", "runs", F.xxhash64("scope", "k").alias("key"))
-        bands = bands.select(F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"), "key", "tid", "runs")
-
-        undecided = nodes
-        old_bands = self._read("bands", _BANDS)
-        fresh = classes
-        if old_bands is not None:
-            old_texts = self._read("texts", _TEXTS)
-            hits = self._pairs(bands, old_bands, False)
-            known = likeness.verified(hits, classes, old_texts).select(F.col("a").alias("tid")).distinct()
-            known = written(known, "known")
-            undecided = undecided.join(known, "tid", "left_anti").join(self._read("names", "name string"), "name", "left_anti")
-            fresh = classes.join(known, "tid", "left_anti")
-            bands = bands.join(known, "tid", "left_anti")
-        links = likeness.verified(self._pairs(bands, bands, True), fresh, fresh)
-        links = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-        accepted = written(_greedy(undecided, links), "accepted")
-        self._append(accepted, classes)
-        kept = accepted.select("line")
-        return kept.withColumnRenamed("line", line_id), ids.join(kept, "line", "left_anti").withColumnRenamed("line", line_id)
-
-    @staticmethod
-    def _pairs(new: DataFrame, old: DataFrame, same: bool) -> DataFrame:
-        x, y = new.alias("x"), old.alias("y")
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key"))
-        on = on & (likeness.LIKE_DEN * F.least("x.runs", "y.runs") >= likeness.LIKE_NUM * F.greatest("x.runs", "y.runs"))
-        if same:
-            on = on & (F.col("x.tid") < F.col("y.tid"))
-        return written(x.join(y, on).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct(), "pairs")
-
-    def _append(self, accepted: DataFrame, classes: DataFrame) -> None:
-        state = self.manifest.read() or {"buckets": self.buckets, "parts": []}
-        gen = uuid.uuid4().hex
-        texts = classes.join(accepted.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
-        texts.select("tid", "runs", "s0", "s1", "s2", "s3", "text").write.parquet(f"{self.path}/texts/gen={gen}")
-        keys = texts.select("tid", "runs", F.explode("keys").alias("k"), "scope").select("tid", "runs", F.xxhash64("scope", "k").alias("key"))
-        keys = keys.withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
-        # One writer a bucket and generation: few, well-filled files.
-        keys.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/bands/gen={gen}")
-        accepted.select("name").where("name is not null").distinct().write.parquet(f"{self.path}/names/gen={gen}")
-        self.manifest.commit({"buckets": self.buckets, "parts": [*state["parts"], gen]})
-
-
-def _greedy(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Accepted nodes (name, tid, ord, line) in the greedy order by ``ord``.
-
-    ``links`` has both directions. Each round shrinks the undecided; a node
-    without conflicts is accepted in the first. State is checkpointed each round.
+        nodes = rows.withColumn("lone", lone).groupBy("name", "tid", "lone").agg(F.min(F.struct("ord", "line")).alias("first"), F.first("scope").alias("scope"), F.first("text").alias("text"))
+        nodes = tmp.written(nodes.select("name", "tid", "first.ord", "first.line", "scope", "text"), "nodes")
+        classes = nodes.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"), F.first("scope").alias("scope"), F.first("text").alias("text"))
+        classes = classes.withColumn("f", likeness.band_features(F.col("text"))).select("tid", "ord", "scope", "text", "f.*", F.monotonically_increasing_id().alias("at"))
+        slot, row = F.expr("shiftright(at, 33)"), F.expr("at & 8589934591")
+        fits = F.assert_true((slot < 2**_SLOT_BITS) & (row < 2**_ROW_BITS), "a batch has at most 2^17 writing tasks of 2^27 texts")
+        num = F.lit(gen << (_SLOT_BITS + _ROW_BITS)) + slot * 2**_ROW_BITS + row
+        classes = tmp.written(classes.select("tid", "ord", "scope", "text", "runs", "s0", "s1", "s2", "s3", "keys", F.coalesce(fits.cast("bigint"), num).alias("num")), "classes")
+        found = tmp.written(self._probe(self._keys(classes), []), "found")
+        links, at = self._links(tmp, classes, found)
+        nodes = nodes.select("name", "tid", "ord", "line")
+        more = lambda c: nodes.where(F.col(c).isNotNull()).groupBy(c).agg((F.count("*") > 1).alias(f"many_{c}"))
+        linked = links.select(F.col("t").alias("tid"), F.lit(True).alias("linked")).distinct()
+        flag = F.coalesce("many_name", F.lit(False)) | F.coalesce("many_tid", F.lit(False)) | F.coalesce("linked", F.lit(False))
+        nodes = tmp.written(nodes.join(more("tid"), "tid", "left").join(linked, "tid", "left").join(more("name"), "name", "left").select("name", "tid", "ord", "line", flag.alias("contested")), "flagged")
+        size = nodes.agg(F.count_if("contested")).first()[0] + links.count() // 2
+        small = size <= self.one_task and found.where(F.col("kind") == WAITS).isEmpty()
+        return lines.select(F.col(line_id).alias("line")).distinct(), nodes, classes, found, links, at if small else None
+
+    def _take(self, tmp: Scratch, pool: ThreadPoolExecutor, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, at: str | None, measure: bool) -> None:
+        """Judges a prepared batch against the history and within itself, and commits it."""
+        todo, folders = nodes, [r["path"] for r in self.state["runs"]]
+        if folders:
+            met = self._probe(self._keys(classes).unionByName(self._names(nodes)), folders)
+            if measure:
+                met = tmp.written(met, "met")
+                self.bytes_read.append(met.where(F.col("kind") == READ).agg(F.sum("b")).first()[0] or 0)
+            todo = self._unknown(nodes, met, classes)
+        if at:
+            # Uncontested lines pass; the contested ones of a batch, few as counted, are walked through in order.
+            part = F.when(F.col("contested"), 0).otherwise(1 + F.pmod(F.xxhash64("line"), F.lit(1_000_000)))
+            rows = todo.withColumn("part", part).repartition("part").sortWithinPartitions("part", "ord").select("name", "tid", "line", "contested")
+            kept = tmp.written(rows.mapInArrow(_walker(at), "name string, tid binary, line bigint"), "kept")
+        else:
+            todo = tmp.written(todo, "unknown")
+            accepted, todo = [todo.where("not contested").select("name", "tid", "line")], todo.where("contested")
+            while True:
+                won, todo = _greedy(tmp, todo, links, self._waiting(classes, found))
+                accepted.append(won.select("name", "tid", "line"))
+                if todo is None:
+                    break
+                # What waited behind leaders meets its like: among themselves only, as the leaders' links are complete.
+                own = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"))
+                found = tmp.written(self._probe(self._keys(classes.drop("ord").join(own, "tid")), []), "found")
+                links, _ = self._links(tmp, classes, found)
+            kept = reduce(DataFrame.unionByName, accepted)
+        self._commit(pool, gen, kept, classes, lines)
+
+    def judged(self, *gens: int) -> DataFrame:
+        """(line, accepted) of the named ingests, or of all."""
+        base = f"{self.path}/judged"
+        paths = [f"{base}/gen={g}" for g in (gens or range(self.state["next"]))]
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], "line bigint, accepted boolean")
+
+    def _keys(self, classes: DataFrame) -> DataFrame:
+        keys = classes.select("num", "runs", F.col("s0").alias("word"), "ord", "scope", F.explode("keys").alias("k")).select(F.xxhash64("scope", "k").alias("key"), "num", "runs", "word", "ord")
+        return keys.withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
+
+    def _names(self, nodes: DataFrame) -> DataFrame:
+        """Names as key rows: a second hash in place of the sketch word, no number, no size."""
+        key, word = _name_key("name")
+        own = nodes.where("name is not null").groupBy("name").agg(F.min("ord").alias("ord"))
+        own = own.select(key.alias("key"), F.lit(-1).cast("bigint").alias("num"), F.lit(0).alias("runs"), word.alias("word"), "ord")
+        return own.withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
+
+    def _probe(self, rows: DataFrame, folders: list[str]) -> DataFrame:
+        """With folders: what the history has of the rows; without: pairs among the rows, each key's earliest texts first."""
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "key", "ord").select("bucket", "key", "num", "runs", "word")
+        return rows.mapInArrow(_prober(folders, self.leaders), "kind int, a bigint, b bigint").distinct()
+
+    def _unknown(self, nodes: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
+        """The nodes whose name and text the history does not have."""
+        pairs = met.where(F.col("kind") == OLD).select(F.col("a").alias("num"), "b").join(classes.select("num", "s0", "s1", "s2", "s3"), "num")
+        pairs = pairs.withColumnRenamed("num", "a").repartition(F.shiftright("b", _ROW_BITS)).sortWithinPartitions("b")
+        near = pairs.mapInArrow(_fetcher(f"{self.path}/texts"), "a bigint, b bigint, text_b string")
+        both = near.join(classes.select(F.col("num").alias("a"), "tid", "text"), "a")
+        known = both.where(likeness.are_like("text", "text_b")).select("tid").distinct()
+        name_a, name_b = _name_key("name")
+        names = met.where(F.col("kind") == NAME).select(F.col("a").alias("h"), F.col("b").alias("c"))
+        return nodes.join(known, "tid", "left_anti").join(names, (name_a == F.col("h")) & (name_b == F.col("c")), "left_anti")
+
+    def _links(self, tmp: Scratch, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+        """Both directions (t, u) of the like pairs within a batch, and the folder of one direction."""
+        by_num = classes.select(F.col("num").alias("tid"), "runs", "s0", "s1", "s2", "s3", "text")
+        links = likeness.verified(found.where(F.col("kind") == NEW).select("a", "b"), by_num, by_num)
+        ids = classes.select("num", "tid")
+        links = links.join(ids.select(F.col("num").alias("a"), F.col("tid").alias("t")), "a").join(ids.select(F.col("num").alias("b"), F.col("tid").alias("u")), "b").select("t", "u")
+        at = tmp.path("links")
+        links.write.parquet(at)
+        links = self.spark.read.schema(links.schema).parquet(at)
+        return links.unionByName(links.select(F.col("u").alias("t"), F.col("t").alias("u"))), at
+
+    def _waiting(self, classes: DataFrame, found: DataFrame) -> DataFrame:
+        return found.where(F.col("kind") == WAITS).select(F.col("a").alias("num")).join(classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits"))
+
+    def _commit(self, pool: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
+        fresh = classes.join(kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
+        # Until the manifest names them nobody reads the files, so tasks may put them in place themselves.
+        options = {"parquet.block.size": self.block, "parquet.enable.dictionary": "false", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+        write = lambda df, to, part, by: df.repartition(part).sortWithinPartitions(part, by).write.options(**options).partitionBy(part).parquet(to)
+        texts = fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", F.expr(f"shiftright(num, {_ROW_BITS}) & {2**_SLOT_BITS - 1}").cast("int").alias("slot"))
+        run = f"{self.path}/keys/run-{gen}-0"
+        keys = self._keys(fresh).drop("ord").unionByName(self._names(kept.withColumn("ord", F.lit(0))).drop("ord"))
+        verdict = kept.select("line").distinct().withColumn("accepted", F.lit(True))
+        judged = lines.join(verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        jobs = [
+            pool.submit(write, texts, f"{self.path}/texts/gen={gen}", "slot", "num"),
+            pool.submit(write, keys, run, "bucket", "key"),
+            pool.submit(judged.write.parquet, f"{self.path}/judged/gen={gen}"),
+        ]
+        for job in jobs:
+            job.result()
+        runs, merged = [*self.state["runs"], {"path": run, "level": 0}], []
+        while len(tail := [r for r in runs if r["level"] == runs[-1]["level"]]) >= FANOUT:
+            level = tail[0]["level"] + 1
+            to = f"{self.path}/keys/run-{gen}-{level}"
+            old = reduce(DataFrame.unionByName, [self.spark.read.schema(_KEYS).parquet(r["path"]) for r in tail])
+            write(old, to, "bucket", "key")
+            merged += [r["path"] for r in tail]
+            runs = [r for r in runs if r not in tail] + [{"path": to, "level": level}]
+        self.state = {"buckets": self.buckets, "next": gen + 1, "runs": runs}
+        self.manifest.commit(self.state)
+        for path in merged:
+            fs, p = hadoop_path(self.spark, path)
+            fs.delete(p, True)
+
+
+def _greedy(tmp: Scratch, todo: DataFrame, links: DataFrame, waits: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Accepted nodes (name, tid, ord, line) in the greedy order by ``ord``, and those that can't be decided yet.
+
+    ``links`` has both directions of like texts. A node whose text ``waits`` can be
+    refused but not accepted. Each round is written and shrinks the undecided.
     """
-    done: list[DataFrame] = []
-    todo = nodes
+    todo = todo.select("name", "tid", "ord", "line").join(waits, "tid", "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
+    done: DataFrame | None = None
     while True:
-        by_text = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("text_first"))
-        by_link = links.join(by_text.select(F.col("tid").alias("b"), "text_first"), "b").groupBy("a").agg(F.min("text_first").alias("link_first"))
-        by_name = todo.where("name is not null").groupBy("name").agg(F.min("ord").alias("name_first"))
-        seen = todo.join(by_text, "tid", "left").join(by_link.withColumnRenamed("a", "tid"), "tid", "left").join(by_name, "name", "left")
-        not_after = lambda c: F.col(c).isNull() | (F.col("ord") <= F.col(c))
-        state = checkpointed(
-            seen.select("name", "tid", "ord", "line", (not_after("text_first") & not_after("link_first") & not_after("name_first")).alias("wins"))
-        )
-        won = state.where("wins").drop("wins")
-        done.append(won)
-        taken = won.where("tid is not null").select("tid").distinct()
-        near = links.join(taken.withColumnRenamed("tid", "b"), "b", "left_semi").select(F.col("a").alias("tid"))
-        names = won.where("name is not null").select("name").distinct()
-        todo = checkpointed(
-            state.where("not wins").drop("wins").join(taken.unionByName(near).distinct(), "tid", "left_anti").join(names, "name", "left_anti")
-        )
-        if todo.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        state = tmp.written(_round(todo, links), "round")
+        won, lost = state.where("wins").drop("wins", "waits"), state.where("not wins")
+        done = won if done is None else done.unionByName(won)
+        n_won, n_lost = state.agg(F.count_if("wins"), F.count_if(~F.col("wins"))).first()
+        if not n_lost:
+            return done, None
+        if not n_won:
+            return done, lost.drop("waits", "wins")
+        todo = _undecided(state, links)
 
 
-def backlog_waves(lines: DataFrame, batch: str, waves: int) -> list[Column]:
-    """Conditions that cut the batches, in order, into at most ``waves`` runs of successive batches.
+def _round(todo: DataFrame, links: DataFrame) -> DataFrame:
+    """``todo`` with ``wins``: the node comes before all undecided nodes it conflicts with."""
+    by_text = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("text_first"))
+    by_link = links.join(by_text.select(F.col("tid").alias("u"), "text_first"), "u").groupBy(F.col("t").alias("tid")).agg(F.min("text_first").alias("link_first"))
+    by_name = todo.where("name is not null").groupBy("name").agg(F.min("ord").alias("name_first"))
+    seen = todo.join(by_text.join(by_link, "tid", "left"), "tid", "left").join(by_name, "name", "left")
+    not_after = lambda c: F.col(c).isNull() | (F.col("ord") <= F.col(c))
+    wins = ~F.col("waits") & not_after("text_first") & not_after("link_first") & not_after("name_first")
+    return seen.select("name", "tid", "ord", "line", "waits", wins.alias("wins"))
 
-    A null batch comes first, as in an ascending order.
-    """
-    low, high = lines.agg(F.min(batch), F.max(batch)).first()
-    if low is None:
-        return [F.lit(True)]
-    step = max(1, -(-(high - low + 1) // waves))
-    cuts = list(range(low, high + 1, step))
-    out = []
-    for i, at in enumerate(cuts):
-        c = (F.col(batch) >= at) & (F.col(batch) < at + step)
-        out.append(c | F.col(batch).isNull() if i == 0 else c)
-    return out
+
+def _undecided(state: DataFrame, links: DataFrame) -> DataFrame:
+    """What the winners of a round leave undecided."""
+    won, lost = state.where("wins"), state.where("not wins").drop("wins")
+    taken = won.where("tid is not null").select("tid").distinct()
+    near = links.join(taken.withColumnRenamed("tid", "u"), "u", "left_semi").select(F.col("t").alias("tid"))
+    names = won.where("name is not null").select("name").distinct()
+    return lost.join(taken.unionByName(near).distinct(), "tid", "left_anti").join(names, "name", "left_anti")

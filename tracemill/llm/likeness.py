@@ -24,17 +24,19 @@ RUN = 5
 #: Likeness threshold as a fraction.
 LIKE_NUM, LIKE_DEN = 3, 5
 #: Signature positions; the first SKETCH of them give a bit each.
-POSITIONS, SKETCH = 320, 256
+POSITIONS, SKETCH = 256, 256
 #: Bits of 256 that must agree: at a likeness of 0.6 the mean is 204.8 and the standard deviation 6.4, so this is 4.7 deviations below.
 SKETCH_AGREE = 175
 #: The same for one word of 64: mean 51.2, deviation 3.2; a pair at exactly 0.6 stays under it with a probability of 3e-5.
 WORD_AGREE = 38
-#: Bands of the history index: 80 of 4 positions miss a pair at exactly 0.6 with a probability of 1.5e-5.
-BAND_ROWS, BANDS = 4, 80
-#: Deletion variants: 25 segments of 5 positions, one of them wild; a pair at exactly 0.6 is missed with a probability of 3.5e-5.
-SEGMENT, SEGMENTS = 5, 25
+#: The same for two words: mean 102.4, deviation 4.5; probability 2e-6.
+TWO_AGREE = 81
+#: Bands of the history index: 64 of 4 positions miss a pair at exactly 0.6 with a probability of 1.4e-4, at 0.65 of 3e-6.
+BAND_ROWS, BANDS = 4, 64
+#: Deletion variants: 22 segments of 5 positions, one of them wild; a pair at exactly 0.6 is missed with a probability of 1.2e-4, at 0.65 of 2e-6.
+SEGMENT, SEGMENTS = 5, 22
 
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
+_M = np.uint32(0xFFFFFFFF)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,8 +51,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
-    return draw(POSITIONS) | np.uint64(1), draw(POSITIONS), draw(POSITIONS) | np.uint64(1), draw(1024)
+    draw = lambda n, bits=64: rng.integers(0, 2**bits, n, dtype=np.dtype(f"u{bits // 8}"))
+    return draw(POSITIONS, 32) | np.uint32(1), draw(POSITIONS, 32), draw(POSITIONS) | np.uint64(1), draw(1024)
 
 
 def plain(text: Column) -> Column:
@@ -71,13 +73,14 @@ def run_hashes(text: str) -> np.ndarray:
 
 
 def signature(runs: np.ndarray) -> np.ndarray:
-    """Minimum of each of POSITIONS hash functions; in blocks, so long texts need little memory."""
+    """Minimum of each of POSITIONS hash functions of 32 bits; in blocks, so long texts need little memory."""
     a, b, _, _ = _constants()
-    out = np.full(POSITIONS, _M)
-    for at in range(0, len(runs), 2048):
-        block = runs[at : at + 2048, None] * a[None, :] + b[None, :]
+    out, short = np.full(POSITIONS, _M), (runs >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        block = np.multiply.outer(short[at : at + 512], a)
+        block += b
         np.minimum(out, block.min(axis=0), out=out)
-    return out
+    return out.astype(np.uint64)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:

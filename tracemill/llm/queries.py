@@ -8,25 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import history_index, mixing, near_copies, packing, residue
-from tracemill.session import work_path, written
+from tracemill.session import Scratch, work_path, written
 from tracemill.sources.tables import table
 
-#: Backlog ingests of p1: the batches are taken over in so many steps.
-WAVES = 3
 
-
-def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf, "proposal_ledger").select("batch_no", "ledger_row", "candidate_id", "replacement_family_id", "content")
-    index = history_index.AcceptedIndex(spark, work_path(spark, "accepted"))
-    parts = [
-        index.ingest(lines.where(c), ["batch_no", "ledger_row"], "ledger_row", "candidate_id", "replacement_family_id", "content")
-        for c in history_index.backlog_waves(lines, "batch_no", WAVES)
-    ]
-    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """(ledger_row, accepted): the batches go into an index one after another, each by its own ingest."""
+    columns = ["batch_no", "ledger_row", "candidate_id", "replacement_family_id", "content"]
+    with Scratch(spark) as tmp:
+        # Laid out by batch once, so that an ingest reads its own lines only.
+        path = tmp.path("arrived")
+        table(spark, sf, "proposal_ledger").select(*columns).repartition("batch_no").write.partitionBy("batch_no").parquet(path)
+        lines = spark.read.parquet(path).select(*(F.col(c).cast("int") if c == "batch_no" else F.col(c) for c in columns))
+        batches = sorted((r[0] for r in lines.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))  # a row for each batch
+        index = history_index.AcceptedIndex(spark, work_path(spark, "accepted"))
+        parts = [lines.where(F.col("batch_no").eqNullSafe(F.lit(b))) for b in batches]
+        index.ingest(parts, ["batch_no", "ledger_row"], "ledger_row", "candidate_id", "replacement_family_id", "content")
+    return index.judged().select(F.col("line").alias("ledger_row"), "accepted")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _judged(spark, sf)[1]
+    return _judged(spark, sf).where("not accepted").select("ledger_row").distinct()
 
 
 def _fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,18 +44,20 @@ def _fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    texts, members = near_copies.distinct_texts(_fields(spark, sf))
-    return near_copies.like_ids(near_copies.like_texts(texts), members).withColumnRenamed("scope", "field_name")
+    with Scratch(spark) as tmp:
+        texts, members = near_copies.distinct_texts(_fields(spark, sf), tmp)
+        return written(near_copies.like_ids(near_copies.like_texts(texts, tmp), members).withColumnRenamed("scope", "field_name"), "p5")
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every (field, id, class of like texts) with the number of its text's links."""
-    texts, members = near_copies.distinct_texts(_fields(spark, sf))
-    links = near_copies.like_texts(texts)
-    classes = near_copies.text_classes(texts, links)
-    ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid"))).groupBy("tid").agg(F.count("*").alias("links"))
-    out = members.join(classes, "tid").join(ends, "tid", "left")
-    return out.select(F.col("scope").alias("field_name"), "id", F.hex("class_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    with Scratch(spark) as tmp:
+        texts, members = near_copies.distinct_texts(_fields(spark, sf), tmp)
+        links = near_copies.like_texts(texts, tmp)
+        classes = near_copies.text_classes(texts, links, tmp)
+        ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid"))).groupBy("tid").agg(F.count("*").alias("links"))
+        out = members.join(classes, "tid").join(ends, "tid", "left")
+        return written(out.select(F.col("scope").alias("field_name"), "id", F.hex("class_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "p5")
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
