@@ -133,9 +133,10 @@ def test_ranges_agree_with_one_sorted_list(spark, monkeypatch):
     docs = [(i, "s", i % 37 + 1, 1.0 + i % 3) for i in range(3000)]
     whole, _ = mixed(spark, docs, [("s", 1.0, 1)], total=20_000)
     monkeypatch.setattr(mx, "RANGE_ROWS", 100)
+    monkeypatch.setattr(mx, "BINS", 8)
     parts, shares = mixed(spark, docs, [("s", 1.0, 1)], total=20_000)
-    inside = len(set(whole) & set(parts)) / len(whole)
-    assert inside > 0.95 and 20_000 - 37 <= shares["s"].used_tokens <= 20_000
+    assert set(whole) == set(parts) and 20_000 - 37 <= shares["s"].used_tokens <= 20_000
+    assert len(mixed(spark, docs, [("s", 1.0, 2)], total=10**9)[0]) == 3000
 
 
 def test_empty_mix(spark):

@@ -4,8 +4,8 @@ Method: Efraimidis-Spirakis sampling. Every document gets the exponential key
 -ln(u) / w from a hash u of its number and its quality weight w. A source's budget is
 its share of the total. Whole epochs of the source come first: each takes every
 document once. What is left of the budget is the fractional epoch: documents in the
-order of their keys, as long as the prefix sum of tokens stays within the rest; where
-it would not, a document is passed over and the next that still fits is taken.
+order of their keys, as long as the prefix sum of tokens stays within the rest. So at most
+one document's size is left unfilled, and short texts are not favoured at the edge.
 
 Repeats: a source gives at most ``max_repeats`` epochs, and a document with no full
 epoch behind it counts as used once in the fractional one. If a source can't fill its
@@ -13,9 +13,11 @@ share even so, its budget is cut to what it has and the shares reached are repor
 as they are; with no total given, the total is the largest at which every source that
 has any tokens reaches its share.
 
-Scale: the prefix sum is not one window over a source. Keys are cut into ranges of
-about ``RANGE_ROWS`` rows by their distribution; sums of ranges (a small table) give
-each range's start, and only the range in which the budget ends is sorted.
+Scale: the prefix sum is not one window over a source. Keys are cut into ``BINS`` ranges
+between a source's least and largest key, and sums of ranges tell in which of them the
+budget ends; that range is cut again, until it holds at most ``RANGE_ROWS`` documents. Each
+level is one partial aggregate, whatever the keys' distribution, and only the last range
+is sorted.
 
 Defined results: sources are compared without case, surrounding blanks and the
 difference of blank, hyphen and underscore; documents without a source or with one
@@ -27,14 +29,15 @@ largest of their sizes. Equal keys are taken in the order of doc_id.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import written
 
-#: Rows of one key range, about.
+#: Documents of the key range that is sorted.
 RANGE_ROWS = 20_000
+#: Key ranges of a level.
+BINS = 1024
 
 
 def source_name(c: Column) -> Column:
@@ -60,14 +63,23 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (bits + 0.5) / float(2**52)
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """The range in which a source's budget ends: in key order, whatever still fits is taken."""
-    rows = rows.sort_values(["key", "doc_id"], kind="stable")
-    room, extra = int(rows["room"].iloc[0]), []
-    for t in rows["tokens"]:
-        extra.append(int(t <= room))
-        room -= t * extra[-1]
-    return rows.assign(extra=extra)[["source", "doc_id", "tokens", "epochs", "extra"]]
+def _cut_ranges(items: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, lo, hi, before: the keys between which a source's rest ends, and the tokens of all keys below.
+
+    Sources whose documents all fit have no row; sums below a range and in it tell where the rest ends.
+    """
+    ends = items.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("tokens").alias("all"))
+    at = written(plan.select("source", "rest").join(ends, "source").where("rest < all").select("source", "rest", "lo", "hi", F.lit(0).cast("bigint").alias("before")), "mixcut")
+    while True:
+        inside = items.join(at, "source").where("key between lo and hi")
+        bin_no = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(0)
+        bins = inside.groupBy("source", "rest", "before", bin_no.alias("bin_no")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        w = Window.partitionBy("source").orderBy("bin_no")  # at most BINS rows a source
+        bins = bins.withColumn("upto", F.col("before") + F.sum("t").over(w))
+        bins = bins.where("upto > rest and upto - t <= rest").select("source", "rest", "lo", "hi", (F.col("upto") - F.col("t")).alias("before"), "n")
+        at = written(bins, "mixcut")
+        if at.where((F.col("n") > RANGE_ROWS) & (F.col("hi") > F.col("lo"))).isEmpty():
+            return at.select("source", "lo", "hi", "before")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -78,11 +90,11 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     """
     goal = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
     items = docs.select(F.col("doc_id"), source_name(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"), "weight").where("tokens > 0")
-    items = items.join(F.broadcast(goal.select("source")), "source", "left_semi")  # a row for each target
+    items = items.join(goal.select("source"), "source", "left_semi")
     items = items.where("doc_id is not null").groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"), F.max("weight").alias("weight"))
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")
     items = written(items.withColumn("key", key), "mixitems")
-    have = items.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"), F.avg("weight").alias("mean_weight"))
+    have = items.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     plan = goal.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     if total is None:
         # Shares of sources without tokens fall to the others, in proportion.
@@ -95,21 +107,15 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     plan = plan.withColumn("budget", F.least("budget", F.col("available") * F.col("max_repeats")))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.expr("budget div available")).otherwise(0))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
-    plan = written(plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.coalesce("documents", F.lit(0)) / RANGE_ROWS)).cast("int")), "mixplan")
-    part = F.broadcast(plan.select("source", "epochs", "rest", "ranges", "mean_weight"))  # a row for each target
-    # An exponential key's distribution function is close to uniform; it only has to be increasing in the key.
-    spot = F.least((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("ranges"), F.col("ranges") - 1).cast("int")
-    placed = items.join(part, "source").withColumn("range_no", spot)
-    sums = placed.groupBy("source", "range_no").agg(F.sum("tokens").alias("in_range"), F.first("rest").alias("rest"))
-    w = Window.partitionBy("source").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_range").over(w), F.lit(0)))
-    # Bounded by documents / RANGE_ROWS rows; joined, not collected.
-    ranges = sums.select("source", "range_no", "before", (F.col("before") + F.col("in_range") <= F.col("rest")).alias("whole"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_range") > F.col("rest"))).alias("cut"))
-    placed = placed.join(ranges, ["source", "range_no"])
-    cut = placed.where("cut").select("source", "doc_id", "tokens", "key", "epochs", (F.col("rest") - F.col("before")).alias("room"))
-    cut = cut.groupBy("source").applyInPandas(_fill, "source string, doc_id bigint, tokens bigint, epochs bigint, extra int")
-    rest = placed.where("not cut").select("source", "doc_id", "tokens", "epochs", F.col("whole").cast("int").alias("extra"))
-    chosen = cut.unionByName(rest).select("source", "doc_id", "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
+    plan = written(plan, "mixplan")
+    placed = items.join(plan.select("source", "epochs", "rest"), "source").join(_cut_ranges(items, plan), "source", "left")
+    edge = placed.where("key between lo and hi")
+    w = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("extra", (F.col("before") + F.sum("tokens").over(w) <= F.col("rest")).cast("int"))
+    rest = placed.where("lo is null or key < lo or key > hi").withColumn("extra", F.when(F.col("lo").isNull() | (F.col("key") < F.col("lo")), 1).otherwise(0))
+    # Where all fit, the rest is the whole source only if the budget ends with it.
+    rest = rest.withColumn("extra", F.when(F.col("lo").isNull() & (F.col("rest") == 0), 0).otherwise(F.col("extra")))
+    chosen = edge.unionByName(rest).select("source", "doc_id", "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
     chosen = written(chosen, "mixchosen")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.count("*").alias("chosen"), F.max("repeats").alias("most_repeats"))
     out = plan.join(used, "source", "left").select("source", "target_share", "max_repeats", "available", "budget", F.coalesce("used", F.lit(0)).alias("used_tokens"), F.coalesce("chosen", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))

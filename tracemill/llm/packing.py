@@ -21,61 +21,51 @@ to the smallest gap, then to the container opened last.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tokens of one shard, about.
 SHARD_TOKENS = 4_000_000
-#: A default; the path is a parameter of every function that counts tokens.
+#: Kinds of containers, a parameter table; more are an error.
+MOST_KINDS = 1000
+#: A default; path and pattern are parameters of every function that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Pieces of text longer than this are counted in slices cut after white space or, in text without any, at a fixed length.
-_SLICE = 20_000
+#: How the vocabulary's tokenizer cuts a text before merging (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(2)
-def _encoding(path: str):
-    import importlib.util
-    import os
-
+@lru_cache(4)
+def _encoding(path: str, pattern: str):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("vocabulary_info", os.path.join(os.path.dirname(path), "__init__.py"))
-    info = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(info)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=info.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of the whole text; very long runs without white space are encoded in slices."""
-    if not text:
-        return 0
-    enc = _encoding(path)
-    if len(text) <= _SLICE:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + _SLICE)
-        if end < len(text):
-            cut = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
-            end = cut if cut > at else end
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
-
-
-def token_count(text: Column, path: str = VOCABULARY) -> Column:
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def count_tokens(text: str | None, path: str = VOCABULARY, pattern: str = PATTERN) -> int:
+    """Tokens of the whole text."""
+    return len(_encoding(path, pattern).encode_ordinary(text)) if text else 0
+
+
+def token_count(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
+    """Tokens of a column's whole texts. Spark sends the driver's vocabulary file to the executors."""
+    SparkSession.active().sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     @F.pandas_udf(T.IntegerType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = SparkFiles.get(name)
         for texts in batches:
-            yield texts.map(lambda t: count_tokens(t, path)).astype("int32")
+            yield texts.map(lambda t: count_tokens(t, own, pattern)).astype("int32")
 
     return tokens(text)
 
@@ -137,8 +127,11 @@ def pack(sizes: DataFrame, packs: DataFrame, shard_tokens: int = SHARD_TOKENS) -
     shards = max(1, -(-total // shard_tokens))
     once = sizes.where("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     items = once.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    packs = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").alias("capacity"))
-    each = items.crossJoin(F.broadcast(packs))  # a handful of container kinds, each packed whole
+    kinds = packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    kind = F.array(*(F.struct(F.lit(k[0]).alias("pack_name"), F.lit(k[1]).alias("capacity")) for k in kinds)) if kinds else F.from_json(F.lit("[]"), "array<struct<pack_name:string,capacity:int>>")
+    each = items.withColumn("k", F.explode(kind)).select("doc_id", "tokens", "shard", "k.*")  # each kind is packed whole
     full = F.expr("tokens div capacity").cast("int")
     rest = F.expr("cast(tokens % capacity as int)")
     rests = each.where(rest > 0).select("pack_name", "doc_id", full.alias("piece"), "shard", rest.alias("tokens"), "capacity")
@@ -152,5 +145,5 @@ def pack(sizes: DataFrame, packs: DataFrame, shard_tokens: int = SHARD_TOKENS) -
 def report(placed: DataFrame, packs: DataFrame) -> DataFrame:
     """Per kind of container: containers, tokens, and the share of room left unused."""
     bins = placed.groupBy("pack_name", "shard", "container").agg(F.sum("tokens").alias("filled"))
-    out = bins.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("filled").alias("tokens")).join(F.broadcast(packs), "pack_name")
+    out = bins.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("filled").alias("tokens")).join(packs, "pack_name")
     return out.select("pack_name", "capacity_tokens", "containers", "tokens", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("unused_share"))
