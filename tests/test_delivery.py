@@ -13,7 +13,7 @@ def store(spark, shards=4):
 
 
 def ingest(s, df):
-    kept = s.ingest(df, d.episode_key(), "delivery_id", ["delivered_at"])
+    kept = s.ingest(df, d.episode_key(), "delivery_id", ["delivered_at"]).where("unseen").drop("unseen")
     use, surplus = d.split_arrivals(df, kept, d.episode_key(), "delivery_id")
     return sorted(r[0] for r in use.select("delivery_id").collect()), sorted(r[0] for r in surplus.collect())
 
@@ -48,8 +48,20 @@ def test_later_batches_are_duplicates_and_codes_go_on(spark):
     again = d.SeenStore(spark, s.path)  # opened anew: the number of shards is the store's
     assert again.shards == 4
     assert ingest(again, rows(spark, [(500, "r", "e55", None, "x"), (501, "r", "new", None, "x")])) == ([501], [500])
-    codes = again._dictionary(again.manifest.read())
+    codes = [spark.read.parquet(r["path"]) for r in again.state["dict"]]
+    codes = codes[0].unionByName(codes[1]).unionByName(codes[2])
     assert codes.count() == 61 and codes.select("shard", "code").distinct().count() == 61
+    # Bits reject arrivals in every batch after the first; the newest copy holds a message.
+    assert spark.read.parquet(*(f"{s.path}/steps/gen={g}" for g in again.state["steps"])).where("code is not null and not unseen").count() == 11
+    held = {r[0] for r in again.holders("delivery_id").collect()}
+    assert len(held) == 61 and {130, 139, 501} <= held and 30 not in held and 155 in held and 500 not in held
+
+
+def test_runs_are_merged(spark):
+    s = store(spark, 2)
+    for i in range(10):
+        assert ingest(s, rows(spark, [(10 * i + k, "r", f"e{i * 2 + k}", "2024-01-01", "x") for k in range(4)]))[1] == ([] if not i else [10 * i, 10 * i + 1])
+    assert len(s.state["dict"]) == 3 and s.holders("delivery_id").count() == 22
 
 
 def test_failed_ingest_leaves_the_store(spark, monkeypatch):

@@ -45,10 +45,14 @@ def p3_current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _delivered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf, "traces").select("delivery_id", "run_id", "episode_id", "delivered_at")
+    """(rows to use, surplus): the batches of one number, of all runs together, are one ingest; numbers go in order."""
+    rows = table(spark, sf, "traces").select("delivery_id", "run_id", "episode_id", "delivered_at", "batch_id")
+    number = F.regexp_extract(F.coalesce("batch_id", F.lit("")), r"(\d*)$", 1)
+    rows = rows.withColumn("batch_no", number)
     store = delivery.SeenStore(spark, work_path(spark, "seen"))
-    kept = store.ingest(rows, delivery.episode_key(), "delivery_id", ["delivered_at"])
-    return delivery.split_arrivals(rows, kept, delivery.episode_key(), "delivery_id")
+    for (no,) in sorted(rows.select("batch_no").distinct().collect()):  # a row for each number
+        store.ingest(rows.where(F.col("batch_no") == no), delivery.episode_key(), "delivery_id", ["delivered_at"])
+    return delivery.split_arrivals(rows.drop("batch_no", "batch_id"), store.holders("delivery_id"), delivery.episode_key(), "delivery_id")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
