@@ -40,7 +40,7 @@ number is one line. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -51,20 +51,15 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import likeness
 from tracemill.session import Scratch, hadoop_path
+from tracemill.sources.blocks import BLOCK, FANOUT, blocks, expand, files, grouped, ints, merge_due, write_run
 from tracemill.sources.manifest import Manifest
 
-#: Bytes of a block of keys or texts, the unit that a probe reads.
-BLOCK = 64 * 1024
-#: Runs of a level that are merged into one of the next.
-FANOUT = 8
 #: Texts of one band key that meet all others at a time.
 LEADERS = 64
 #: Batches made ready, and parts written, at a time.
 AHEAD = 4
 #: Contested lines and links of a batch that one task settles; more are settled in parallel rounds, with the same result.
 ONE_TASK = 200_000
-#: Pairs that a task expands at a time.
-_PAIRS = 2_000_000
 #: A number is generation, writing task and row: bits of the last two.
 _SLOT_BITS, _ROW_BITS = 17, 27
 
@@ -75,66 +70,6 @@ OLD, NEW, NAME, WAITS, READ = range(5)
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: Callable[[pa.Table], np.ndarray]) -> Iterator[tuple[int, pa.Table]]:
-    """(value, rows) for each run of equal values in sorted batches."""
-    held, value = [], None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if not len(rows):
-            continue
-        at = by(rows)
-        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if value is not None and at[lo] != value:
-                yield value, pa.concat_tables(held)
-                held = []
-            value = int(at[lo])
-            held.append(rows.slice(lo, hi - lo))
-    if held:
-        yield value, pa.concat_tables(held)
-
-
-def _ints(rows: pa.Table, name: str) -> np.ndarray:
-    return rows.column(name).to_numpy()
-
-
-def _blocks(folder: str, column: str, wanted: np.ndarray, columns: list[str]) -> Iterator[tuple[pa.Table, int]]:
-    """(rows, bytes read) of a folder's blocks that can hold one of the sorted wanted values."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
-
-    system, inner = pafs.FileSystem.from_uri(folder)
-    for info in system.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
-        if not info.path.endswith(".parquet"):
-            continue
-        with system.open_input_file(info.path) as f:
-            file = pq.ParquetFile(f)
-            meta = file.metadata
-            at = meta.schema.to_arrow_schema().get_field_index(column)
-            for i in range(meta.num_row_groups):
-                group = meta.row_group(i)
-                stats = group.column(at).statistics
-                if stats is not None and stats.has_min_max:
-                    lo, hi = np.searchsorted(wanted, stats.min, "left"), np.searchsorted(wanted, stats.max, "right")
-                    if lo == hi:
-                        continue
-                yield file.read_row_group(i, columns=columns), group.total_byte_size
-
-
-def _expand(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) with j in starts[i] .. starts[i] + counts[i], in pieces of bounded size."""
-    live = np.flatnonzero(counts)
-    ends = np.cumsum(counts[live])
-    at, done = 0, 0
-    while at < len(live):
-        to = max(at + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
-        rows, n = live[at:to], counts[live[at:to]]
-        i = np.repeat(rows, n)
-        j = np.repeat(starts[rows], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        yield i, j
-        at, done = to, int(ends[to - 1])
-
-
 def _agrees(x_runs, x_word, y_runs, y_word) -> np.ndarray:
     sizes = likeness.LIKE_DEN * np.minimum(x_runs, y_runs) >= likeness.LIKE_NUM * np.maximum(x_runs, y_runs)
     return sizes & (x_runs > 0) & (y_runs > 0) & (np.bitwise_count((x_word ^ y_word).view(np.uint64)) <= 64 - likeness.WORD_AGREE)
@@ -148,14 +83,14 @@ def _prober(folders: list[str], leaders: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), kind, np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_FOUND)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(batches, lambda t: _ints(t, "bucket")):
-            key, num, runs, word = (_ints(rows, c) for c in ("key", "num", "runs", "word"))
+        for bucket, rows in grouped(batches, lambda t: ints(t, "bucket")):
+            key, num, runs, word = (ints(rows, c) for c in ("key", "num", "runs", "word"))
             n = len(key)
             begins = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
             sizes = np.diff(np.concatenate((begins, [n])))
             place = np.arange(n) - np.repeat(begins, sizes)
             left = np.repeat(begins + sizes, sizes) - np.arange(n) - 1
-            for i, j in () if folders else _expand(np.arange(n) + 1, np.where(place < leaders, left, 0)):
+            for i, j in () if folders else expand(np.arange(n) + 1, np.where(place < leaders, left, 0)):
                 ok = _agrees(runs[i], word[i], runs[j], word[j]) & (num[i] != num[j])
                 yield found(NEW, np.minimum(num[i][ok], num[j][ok]), np.maximum(num[i][ok], num[j][ok]))
             if not folders:
@@ -164,11 +99,11 @@ def _prober(folders: list[str], leaders: int):
                 continue
             read = 0
             for folder in folders:
-                for old, size in _blocks(f"{folder}/bucket={bucket}", "key", key, ["key", "num", "runs", "word"]):
+                for old, size in blocks(f"{folder}/bucket={bucket}", "key", key, ["key", "num", "runs", "word"]):
                     read += size
-                    o_key, o_num, o_runs, o_word = (_ints(old, c) for c in ("key", "num", "runs", "word"))
+                    o_key, o_num, o_runs, o_word = (ints(old, c) for c in ("key", "num", "runs", "word"))
                     lo, hi = np.searchsorted(o_key, key, "left"), np.searchsorted(o_key, key, "right")
-                    for i, j in _expand(lo, hi - lo):
+                    for i, j in expand(lo, hi - lo):
                         ok = _agrees(runs[i], word[i], o_runs[j], o_word[j])
                         yield found(OLD, num[i][ok], o_num[j][ok])
                         same = (runs[i] == 0) & (o_runs[j] == 0) & (word[i] == o_word[j])
@@ -184,16 +119,16 @@ def _fetcher(texts: str):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("text_b", pa.string())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, rows in _grouped(batches, lambda t: _ints(t, "b") >> _ROW_BITS):
-            b = _ints(rows, "b")
+        for place, rows in grouped(batches, lambda t: ints(t, "b") >> _ROW_BITS):
+            b = ints(rows, "b")
             folder = f"{texts}/gen={place >> _SLOT_BITS}/slot={place & (2**_SLOT_BITS - 1)}"
-            for old, _ in _blocks(folder, "num", b, ["num", "runs", *sketch, "text"]):
-                num = _ints(old, "num")
+            for old, _ in blocks(folder, "num", b, ["num", "runs", *sketch, "text"]):
+                num = ints(old, "num")
                 lo, hi = np.searchsorted(num, b, "left"), np.searchsorted(num, b, "right")
-                for i, j in _expand(lo, hi - lo):
-                    off = sum(np.bitwise_count((_ints(rows, c)[i] ^ _ints(old, c)[j]).view(np.uint64)).astype(np.int32) for c in sketch)
+                for i, j in expand(lo, hi - lo):
+                    off = sum(np.bitwise_count((ints(rows, c)[i] ^ ints(old, c)[j]).view(np.uint64)).astype(np.int32) for c in sketch)
                     ok = off <= likeness.SKETCH - likeness.SKETCH_AGREE
-                    yield pa.RecordBatch.from_arrays([pa.array(_ints(rows, "a")[i[ok]]), pa.array(b[i[ok]]), old.column("text").combine_chunks().take(pa.array(j[ok]))], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(ints(rows, "a")[i[ok]]), pa.array(b[i[ok]]), old.column("text").combine_chunks().take(pa.array(j[ok]))], schema=out)
 
     return fetch
 
@@ -224,16 +159,12 @@ def _walker(links: str):
 
 def _neighbours(folder: str) -> dict[bytes, list[bytes]]:
     import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
 
-    system, inner = pafs.FileSystem.from_uri(folder)
     out: dict[bytes, list[bytes]] = {}
-    for info in system.get_file_info(pafs.FileSelector(inner)):
-        if info.path.endswith(".parquet"):
-            with system.open_input_file(info.path) as f:
-                for row in pq.read_table(f).to_pylist():
-                    out.setdefault(row["t"], []).append(row["u"])
-                    out.setdefault(row["u"], []).append(row["t"])
+    for f in files(folder):
+        for row in pq.read_table(f).to_pylist():
+            out.setdefault(row["t"], []).append(row["u"])
+            out.setdefault(row["u"], []).append(row["t"])
     return out
 
 
@@ -374,27 +305,24 @@ class AcceptedIndex:
 
     def _commit(self, pool: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
         fresh = classes.join(kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
-        # Until the manifest names them nobody reads the files, so tasks may put them in place themselves.
-        options = {"parquet.block.size": self.block, "parquet.enable.dictionary": "false", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
-        write = lambda df, to, part, by: df.repartition(part).sortWithinPartitions(part, by).write.options(**options).partitionBy(part).parquet(to)
         texts = fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", F.expr(f"shiftright(num, {_ROW_BITS}) & {2**_SLOT_BITS - 1}").cast("int").alias("slot"))
         run = f"{self.path}/keys/run-{gen}-0"
         keys = self._keys(fresh).drop("ord").unionByName(self._names(kept.withColumn("ord", F.lit(0))).drop("ord"))
         verdict = kept.select("line").distinct().withColumn("accepted", F.lit(True))
         judged = lines.join(verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
         jobs = [
-            pool.submit(write, texts, f"{self.path}/texts/gen={gen}", "slot", "num"),
-            pool.submit(write, keys, run, "bucket", "key"),
-            pool.submit(judged.write.parquet, f"{self.path}/judged/gen={gen}"),
+            pool.submit(write_run, texts, f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
+            pool.submit(write_run, keys, run, "bucket", "key", self.block),
+            pool.submit(judged.write.mode("overwrite").parquet, f"{self.path}/judged/gen={gen}"),
         ]
         for job in jobs:
             job.result()
         runs, merged = [*self.state["runs"], {"path": run, "level": 0}], []
-        while len(tail := [r for r in runs if r["level"] == runs[-1]["level"]]) >= FANOUT:
+        while tail := merge_due(runs):
             level = tail[0]["level"] + 1
             to = f"{self.path}/keys/run-{gen}-{level}"
             old = reduce(DataFrame.unionByName, [self.spark.read.schema(_KEYS).parquet(r["path"]) for r in tail])
-            write(old, to, "bucket", "key")
+            write_run(old, to, "bucket", "key", self.block)
             merged += [r["path"] for r in tail]
             runs = [r for r in runs if r not in tail] + [{"path": to, "level": level}]
         self.state = {"buckets": self.buckets, "next": gen + 1, "runs": runs}
