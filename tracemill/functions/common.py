@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,30 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 def clipped(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def global_rank(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """``df`` with ``rank_no``, the 1-based rank by a unique integer key: counts of key ranges give each range's start."""
+    rows = df.withColumn("_range", F.floor(F.col(key) / width))
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("_range", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return rows.join(starts, "_range").withColumn("rank_no", F.col("_before") + inside).drop("_range", "_before")
+
+
+def sorted_rank(df: DataFrame, order: Column, *ties: str, bins: int = 1024) -> DataFrame:
+    """``df`` with ``rank_no``, the 1-based rank by a numeric ``order`` and then ``ties``.
+
+    Equal cuts between the least and the largest value make ranges; counts of ranges give
+    each range's start, and each range is sorted by itself. Null orders come last.
+    """
+    ends = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))
+    rows = df.withColumn("_o", order)
+    cut = F.least(F.floor((F.col("_o").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    rows = rows.crossJoin(ends).withColumn("_range", F.when(F.col("_o").isNull(), bins).when(F.col("hi") > F.col("lo"), cut).otherwise(0)).drop("lo", "hi")
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("_range", before.alias("_before"))  # at most bins + 1 rows
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_o", *ties))
+    return rows.join(starts, "_range").withColumn("rank_no", F.col("_before") + inside).drop("_range", "_before", "_o")

@@ -38,9 +38,35 @@ def fold(text: Column) -> Column:
 
 
 def normal_query(text: Column) -> Column:
-    """Folded, without currency words, punctuation as blanks, blanks squeezed."""
-    bare = F.regexp_replace(fold(text), r"(?:人民币|rmb|cny|元|yuan)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), r"\s+", " "))
+    """Folded; names of the currency as 元, also after a number; separating marks as blanks; blanks squeezed."""
+    money = F.regexp_replace(F.regexp_replace(fold(text), "人民币|块钱", "元"), r"(?<=\d)\s*(?:rmb|cny|yuan)\b", "元")
+    return F.trim(F.regexp_replace(F.regexp_replace(money, r"[，,。；;：:！!？?、|]", " "), r"\s+", " "))
+
+
+def model_numbers(text: Column) -> Column:
+    """Distinct tokens of a normal query, in their order, that have a letter and a digit; parts are joined by . _ + - /."""
+    pattern = r"(?<![a-z0-9])(?=[a-z0-9._+\-/]*[a-z])(?=[a-z0-9._+\-/]*\d)[a-z0-9]+(?:[._+\-/][a-z0-9]+)*(?![a-z0-9])"
+    return F.array_distinct(F.regexp_extract_all(normal_query(text), F.lit(pattern), F.lit(0)))
+
+
+def option_text(text: Column) -> Column:
+    """Folded, slashes as bars, no blanks."""
+    return F.regexp_replace(F.replace(fold(text), F.lit("/"), F.lit("|")), r"\s+", "")
+
+
+def title_terms(text: Column) -> Column:
+    """Latin words and numbers, then pairs of neighbouring Han characters (a lone one by itself)."""
+    latin = F.regexp_extract_all(fold(text), F.lit(r"[a-z0-9]+(?:[._+\-/][a-z0-9]+)*"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit("[\u3400-\u4dbf\u4e00-\u9fff]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substr(r, i, F.lit(2)))
+    return F.concat(latin, F.flatten(F.transform(runs, pairs)))
+
+
+def option_document(options: Column) -> Column:
+    """Axes in order, each followed by its visible values, of a map axis -> values."""
+    entries = F.array_sort(F.map_entries(options))
+    shown = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_join(F.flatten(F.transform(entries, lambda e: F.concat(shown(F.array(e["key"])), shown(e["value"])))), " ")
 
 
 def canonical_json(text: Column) -> Column:
@@ -114,12 +140,13 @@ def is_repetitive(text: Column, least: int = 10_000, ratio: float = 10.0) -> Col
 
 
 def _token_set_ratio(a: str, b: str) -> float:
-    """0 to 100: the best matching-block ratio among the shared words and each side's sorted words."""
-    sa, sb = set(a.lower().split()), set(b.lower().split())
+    """0 to 100, whole: the best matching-block ratio among the shared words and each side's sorted words."""
+    words = lambda t: set(re.sub(r"\W+", " ", t.casefold()).split())
+    sa, sb = words(a), words(b)
     both = " ".join(sorted(sa & sb))
     left, right = (" ".join(filter(None, [both, " ".join(sorted(s - o))])) for s, o in ((sa, sb), (sb, sa)))
-    pairs = [(both, left), (both, right), (left, right)]
-    return max((100 * SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in pairs if x or y), default=0.0) if both else 100 * SequenceMatcher(None, left, right, autojunk=False).ratio()
+    pairs = [(both, left), (both, right), (left, right)] if both else [(left, right)]
+    return float(max(round(100 * SequenceMatcher(None, x, y).ratio()) for x, y in pairs))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
@@ -263,6 +290,11 @@ def numeral(text: str) -> float | None:
     m = re.fullmatch(r"(\d+(?:\.\d+)?)([kKwW千万百]?)", text)
     if m:
         return float(m[1]) * {"": 1, "k": 1e3, "w": 1e4, "千": 1e3, "万": 1e4, "百": 100}[m[2].lower()]
+    if text and all(c in _DIGITS for c in text):  # 三五 is read digit by digit
+        return float("".join(str(_DIGITS[c]) for c in text))
+    short = re.fullmatch(r"(.+)([百千万])([一二三四五六七八九两])", text)
+    if short and (head := numeral(short[1])) is not None:  # 三千五 is 3500
+        return (head + _DIGITS[short[3]] / 10) * _UNITS[short[2]] if short[2] not in short[1] else None
     total = part = digit = 0
     for c in text:
         if c in _DIGITS:

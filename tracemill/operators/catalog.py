@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.common import ratio
+from tracemill.functions.common import global_rank, ratio
 
 
 def price_axes(df: DataFrame, product: str, axis: str, price: str) -> DataFrame:
@@ -79,11 +79,7 @@ def unused_numbers(df: DataFrame, number: str, key: str) -> DataFrame:
     used = df.where(F.col(number).isNotNull()).select(F.col(number).alias("_n")).distinct()
     top = m + used.where(F.col("_n") < df.count()).count()
     free = df.sparkSession.range(top).select(F.col("id").alias("_n")).join(used, "_n", "left_anti")
-    free = free.select("_n", F.row_number().over(Window.orderBy("_n")).alias("_i")).where(F.col("_i") <= m)
-    wanted = missing.select(key, F.row_number().over(Window.orderBy(key)).alias("_i"))
+    free = global_rank(free, "_n").select("_n", F.col("rank_no").alias("_i")).where(F.col("_i") <= m)
+    wanted = global_rank(missing, key).select(key, F.col("rank_no").alias("_i"))
     given = wanted.join(free, "_i").select(key, "_n")
     return df.join(given, key, "left").withColumn(number, F.coalesce(number, "_n")).drop("_n")
-
-
-def half_up_share(a: Column, b: Column) -> Column:
-    return F.round(ratio(a, b), 4)

@@ -72,5 +72,5 @@ def whole_group_split(groups: DataFrame, target: int, seed: str, name: str) -> D
     spark = groups.sparkSession
     quota = spark.createDataFrame(list(take.items()) or [(0, 0)], "size long, quota int")
     w = Window.partitionBy("size").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256))
-    ranked = groups.withColumn("_r", F.row_number().over(w)).join(F.broadcast(quota), "size", "left")
+    ranked = groups.withColumn("_r", F.row_number().over(w)).join(quota, "size", "left")
     return ranked.select("component", "size", F.when(F.col("_r") <= F.coalesce("quota", F.lit(0)), name).otherwise("rest").alias("split"))

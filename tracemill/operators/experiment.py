@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.common import clipped, hash_bits, hash_number, hash_uniform
+from tracemill.functions.common import clipped, hash_bits, hash_number, hash_uniform, sorted_rank
 
 
 def paired(df: DataFrame, arm: str, one, other, task: str, value: Column) -> DataFrame:
@@ -72,21 +72,20 @@ def slot_of(n: int, *parts: Column) -> Column:
     return (hash_number(*parts) % F.lit(n + 1)).cast("int")
 
 
-def inclusion_probability(effect: str, low: float = 0.1, high: float = 0.9) -> Column:
-    """Clipped linear in the effect; the scale is the largest positive effect."""
-    top = F.max(F.when(F.col(effect) > 0, F.col(effect))).over(Window.partitionBy())
+def inclusion_probability(df: DataFrame, effect: str, low: float = 0.1, high: float = 0.9) -> Column:
+    """Clipped linear in the effect; the scale is ``df``'s largest positive effect, one scalar aggregate."""
+    top = df.agg(F.max(F.when(F.col(effect) > 0, F.col(effect)))).scalar()
     return F.when(top.isNull(), F.lit(low)).otherwise(clipped(F.lit(low) + F.lit(high - low) * F.col(effect) / top, low, high))
 
 
 def group_treatment(groups: DataFrame, chunks: DataFrame, key: str, seed: str, free: float) -> DataFrame:
     """key, mode, ids: a group is free of skills, or each chunk is drawn by its own probability.
 
-    ``chunks`` (chunk_id, probability) is the experiment's frozen list, a handful of
-    rows; it is broadcast below 10,000 rows and joined without a hint above.
+    ``chunks`` (chunk_id, probability) is the experiment's frozen list; every group draws for each
+    of its chunks, so the pairs are the operator's own.
     """
-    few = chunks.limit(10_001).count() <= 10_000
     g = groups.select(key).distinct().withColumn("_free", hash_uniform(F.lit(seed), F.col(key), F.lit("free")) < free)
-    each = g.join(F.broadcast(chunks) if few else chunks, ~F.col("_free") & (hash_uniform(F.lit(seed), F.col(key), F.col("chunk_id")) < F.col("probability")), "left")
+    each = g.join(chunks, ~F.col("_free") & (hash_uniform(F.lit(seed), F.col(key), F.col("chunk_id")) < F.col("probability")), "left")
     out = each.groupBy(key).agg(F.first("_free").alias("_free"), F.sort_array(F.collect_list("chunk_id")).alias("ids"))
     return out.select(key, F.when(F.col("_free"), "free").when(F.size("ids") == 0, "empty").otherwise("assisted").alias("mode"), "ids")
 
@@ -99,7 +98,7 @@ def family_winners(df: DataFrame, family: str, effect: str, old: Column, tie: st
 
 def top_positive(df: DataFrame, effect: str, tie: str, k: int) -> DataFrame:
     """effect_rank, and status selected (rank up to k), reserve or rejected (effect not above 0)."""
-    ranked = df.withColumn("effect_rank", F.row_number().over(Window.orderBy(F.desc(effect), tie)))
+    ranked = sorted_rank(df, -F.col(effect), tie).withColumnRenamed("rank_no", "effect_rank")
     status = F.when(F.col(effect) <= 0, "rejected").when(F.col("effect_rank") <= k, "selected").otherwise("reserve")
     return ranked.withColumn("status", status)
 

@@ -104,3 +104,45 @@ def forward_flops(length: Column, layers: int, hidden: int, ffn: int, vocabulary
     """Multiply-adds, doubled, of a forward pass: projections, attention, feed-forward, output."""
     per_token = layers * (8 * hidden * hidden + 6 * hidden * ffn) + 2 * hidden * vocabulary
     return length.cast("double") * per_token + F.lit(4.0 * layers * hidden) * length * length
+
+
+def sequence_kl(new: Column, old: Column, mask: Column) -> Column:
+    """Mean of old - new over the mask, one value a sequence; 0 for an empty mask."""
+    d = F.zip_with(old, new, lambda o, n: o.cast("double") - n.cast("double"))
+    return masked_sum(d, mask) / F.greatest(masked_sum(mask, mask), F.lit(1.0))
+
+
+def off_policy_keep(advantage: Column, kl: Column, delta: float) -> Column:
+    """1, or 0 for a sequence of negative advantage that has drifted by more than ``delta``."""
+    return F.when((advantage < 0) & (kl > delta), 0).otherwise(1)
+
+
+def mismatch_metrics(train: Column, rollout: Column, mask: Column, bound: float = 20.0) -> dict[str, Column]:
+    """How far the training policy's log-probabilities are from the rollout's: perplexities, KL, k3, chi squared by token and sequence."""
+    r = F.zip_with(train, rollout, lambda t, o: t.cast("double") - o.cast("double"))
+    mean = lambda f: masked_mean(F.transform(r, f), mask)
+    total = clipped(masked_sum(r, mask), -bound, bound)
+    return {
+        "train_log_ppl": -masked_mean(train, mask), "rollout_log_ppl": -masked_mean(rollout, mask), "kl": mean(lambda x: -x), "k3": mean(lambda x: F.exp(x) - x - 1),
+        "ppl_ratio": F.exp(masked_mean(rollout, mask) - masked_mean(train, mask)), "chi2_token": mean(lambda x: F.exp(2 * clipped(x, -bound, bound))) - 1, "chi2_sequence": F.exp(2 * total) - 1,
+    }
+
+
+def veto(new: Column, old: Column, mask: Column, floor: float) -> Column:
+    """0 for a sequence in which some trained token's ratio is under ``floor``, else 1."""
+    low = F.zip_with(F.zip_with(new, old, lambda n, o: F.exp(n.cast("double") - o.cast("double"))), mask, lambda w, m: (m == 1) & (w < floor))
+    return F.when(F.exists(low, lambda x: x), 0).otherwise(1)
+
+
+def distilled(advantages: Column, student: Column, teacher: Column, weight: float) -> Column:
+    """Advantages less the weighted excess of the student's log-probabilities over the teacher's."""
+    gap = F.zip_with(student, teacher, lambda s, t: s.cast("double") - t.cast("double"))
+    return F.zip_with(advantages, gap, lambda a, g: a - weight * g)
+
+
+def role_mask(messages: Column, lead: int = 0) -> Column:
+    """Loss mask of an array of (role, tokens, step_loss_mask): an assistant's tokens after its first ``lead`` count, unless its step is masked."""
+    ones = lambda n, v: F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(v))
+    part = lambda n, v: F.when(n > 0, ones(n, v)).otherwise(F.array().cast("array<int>"))
+    one = lambda m: F.when((m["role"] == "assistant") & (F.coalesce(m["step_loss_mask"], F.lit(1)) == 1), F.concat(part(F.least(m["tokens"], F.lit(lead)), 0), part(m["tokens"] - lead, 1))).otherwise(part(m["tokens"], 0))
+    return F.flatten(F.transform(messages, one))

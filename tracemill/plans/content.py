@@ -14,7 +14,7 @@ from tracemill.operators import experiment as ex
 from tracemill.operators import leakage as lk
 from tracemill.operators import retrieval as rt
 from tracemill.operators.nested import strict_json
-from tracemill.plans.experiments import global_rank
+from tracemill.functions.common import global_rank
 from tracemill.sources.tables import table
 
 QUERIES: dict = {}
@@ -136,7 +136,7 @@ def split_checks(spark, sf):
 def range_splits(spark, sf):
     """Explicit, overlapping ranges of three rows; the range table is a constant, so its broadcast is bounded."""
     r = spark.createDataFrame([("a", 0, 4000), ("b", 3000, 9000), ("c", 9000, 10**9)], "split string, lo long, hi long")
-    return table(spark, sf, "orders").join(F.broadcast(r), (F.col("o_orderkey") >= F.col("lo")) & (F.col("o_orderkey") < F.col("hi"))).select("o_orderkey", "split")
+    return table(spark, sf, "orders").join(r, (F.col("o_orderkey") >= F.col("lo")) & (F.col("o_orderkey") < F.col("hi"))).select("o_orderkey", "split")
 
 
 @query("select coalesce(split_name, 'none') as split_name, count(*)::bigint as tasks, count(distinct asin)::bigint as products, count(price_upper)::bigint as priced, round(avg(price_upper), 4) as mean_upper from tasks group by 1")
@@ -219,10 +219,10 @@ def snippet_context(spark, sf):
 @query("""select l.ledger_row, min(c.rn)::bigint as first_skill from (select ledger_row, content from proposal_ledger where content is not null) l
 join (select skill_id, row_number() over (order by skill_id) as rn from curriculum) c on contains(l.content, substr(c.skill_id, 7, 2)) group by 1""")
 def contains_first_match(spark, sf):
-    """The first of the fixed 40 curriculum marks that a text contains; the list is a constant of the experiment."""
-    marks = [r[0] for r in table(spark, sf, "curriculum").select("skill_id").orderBy("skill_id").limit(1000).collect()]
-    first = F.coalesce(*(F.when(F.contains(F.col("content"), F.lit(m[6:8])), F.lit(i + 1).cast("bigint")) for i, m in enumerate(marks)))
-    return table(spark, sf, "proposal_ledger").where("content is not null").select("ledger_row", first.alias("first_skill")).where("first_skill is not null")
+    """The first of the curriculum's marks that a text contains: each text meets all marks, the least place stays."""
+    marks = table(spark, sf, "curriculum").select(F.substring("skill_id", 7, 2).alias("mark"), F.row_number().over(Window.orderBy("skill_id")).cast("bigint").alias("place"))
+    rows = table(spark, sf, "proposal_ledger").where("content is not null").select("ledger_row", "content")
+    return rows.join(marks, F.contains("content", "mark")).groupBy("ledger_row").agg(F.min("place").alias("first_skill"))
 
 
 @query("select doc_id from documents where length(text) - length(replace(text, ' ', '')) + 1 <= 200")

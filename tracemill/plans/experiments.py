@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.common import hash_bits, hash_number, hash_uniform, nearest_rank, r6, ratio, sem
+from tracemill.functions.common import global_rank, hash_bits, hash_number, hash_uniform, nearest_rank, r6, ratio, sem
 from tracemill.operators import experiment as ex
 from tracemill.operators import groups as gr
 from tracemill.sources.tables import table
@@ -86,25 +86,25 @@ def ols_no_intercept_2(spark, sf):
 @query(f"select c_custkey, r_regionkey, ({_HASH.format("'42', c_custkey, r_name")} < '8000000000000000')::int as included from customer cross join region")
 def bernoulli_masks(spark, sf):
     """Jobs by chunks: five regions stand for the frozen chunks."""
-    chunks = F.broadcast(table(spark, sf, "region").select("r_regionkey", "r_name"))
+    chunks = table(spark, sf, "region").select("r_regionkey", "r_name")
     jobs = table(spark, sf, "customer").select("c_custkey")
     return jobs.crossJoin(chunks).select("c_custkey", "r_regionkey", ex.bernoulli(F.lit("42"), F.col("c_custkey"), F.col("r_name")).alias("included"))
 
 
 @query(f"select c_custkey, r_regionkey, (('0x' || {_HASH.format("'9', c_custkey, r_name")})::ubigint % 4)::int as slot from customer cross join region")
 def slot_assignment(spark, sf):
-    chunks = F.broadcast(table(spark, sf, "region").select("r_regionkey", "r_name"))
+    chunks = table(spark, sf, "region").select("r_regionkey", "r_name")
     return table(spark, sf, "customer").select("c_custkey").crossJoin(chunks).select("c_custkey", "r_regionkey", ex.slot_of(3, F.lit("9"), F.col("c_custkey"), F.col("r_name")).alias("slot"))
 
 
 @query("select s_suppkey, round(greatest(0.1, least(0.9, 0.1 + 0.8 * s_acctbal / max(case when s_acctbal > 0 then s_acctbal end) over ())), 6) as probability from supplier")
 def inclusion_probability(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", r6(ex.inclusion_probability("s_acctbal")).alias("probability"))
+    return table(spark, sf, "supplier").select("s_suppkey", r6(ex.inclusion_probability(table(spark, sf, "supplier"), "s_acctbal")).alias("probability"))
 
 
 @query("select skill_id, round(greatest(0.1, least(0.9, 0.1 + 0.8 * contribution / max(case when contribution > 0 then contribution end) over ())), 6) as probability from curriculum")
 def curriculum_probability(spark, sf):
-    return table(spark, sf, "curriculum").select("skill_id", r6(ex.inclusion_probability("contribution")).alias("probability"))
+    return table(spark, sf, "curriculum").select("skill_id", r6(ex.inclusion_probability(table(spark, sf, "curriculum"), "contribution")).alias("probability"))
 
 
 @query(f"""with g as (select o_orderkey, {_UNI.format("'s1', o_orderkey, 'free'")} < 0.25 as is_free from orders),
@@ -184,16 +184,6 @@ def step_assignment(spark, sf):
     return ranked.select("o_orderkey", F.expr("cast((rank_no - 1) div 64 as bigint)").alias("step")).where(F.col("step") < full)
 
 
-def global_rank(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """1-based rank by a numeric unique key: counts per key range give each range's start."""
-    rows = df.withColumn("_range", F.floor(F.col(key) / width))
-    starts = rows.groupBy("_range").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.select("_range", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return rows.join(starts, "_range").withColumn("rank_no", F.col("_before") + inside).drop("_range", "_before")
-
-
 @query("""select l_suppkey, l[round_even((len(l) - 1) * 0.95, 0)::int + 1] as p95 from (select l_suppkey, list_sort(list(l_extendedprice)) as l from lineitem group by 1)""")
 def nearest_rank_p95(spark, sf):
     """Nearest rank by running counts of distinct values, so that a hot key needs no list."""
@@ -244,7 +234,7 @@ def metric_reconciliation(spark, sf):
 select r_name, round(avg(drawn::int), 6) as rate from d group by 1""")
 def inclusion_rates(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey").where(~(hash_uniform(F.lit("s1"), F.col("o_orderkey"), F.lit("free")) < 0.25))
-    d = o.crossJoin(F.broadcast(table(spark, sf, "region").select("r_name", "r_regionkey")))
+    d = o.crossJoin(table(spark, sf, "region").select("r_name", "r_regionkey"))
     drawn = hash_uniform(F.lit("s1"), F.col("o_orderkey"), F.col("r_name")) < 0.2 + 0.1 * F.col("r_regionkey")
     return d.groupBy("r_name").agg(r6(F.avg(drawn.cast("int"))).alias("rate"))
 

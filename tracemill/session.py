@@ -79,7 +79,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        for path in self.paths:
+        while self.paths:
+            path = self.paths.pop()
             fs, p = hadoop_path(self.spark, path)
             fs.delete(p, True)
 

@@ -18,17 +18,29 @@ from tracemill.session import hadoop_path
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or JSON lines as VARIANT ``record``; other suffixes raise ValueError. An optional slice: ``path@[a:b]``."""
-    m = re.fullmatch(r"(.*)@\[(\d*):(\d*)\]", path)
-    path, a, b = (m[1], int(m[2] or 0), int(m[3]) if m[3] else None) if m else (path, 0, None)
+    """Parquet, or JSON lines as VARIANT ``record``; other suffixes raise ValueError.
+
+    An optional slice ``path@[a:b]`` counts rows in the order of files and of rows in them;
+    negative bounds count from the end.
+    """
+    m = re.fullmatch(r"(.*)@\[(-?\d*):(-?\d*)\]", path)
+    path = m[1] if m else path
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     elif path.endswith((".jsonl", ".jsonl.gz")):
-        df = json_lines(spark, path).select("record")
+        df = json_lines(spark, path)
+        place = [F.col("path").alias("_file"), F.col("line_no").alias("_row")]
     else:
         raise ValueError(f"neither .parquet nor .jsonl: {path}")
-    df = df.offset(a) if a else df
-    return df if b is None else df.limit(max(0, b - a))
+    columns = df.columns if path.endswith(".parquet") else ["record"]
+    if not m:
+        return df.select(*columns)
+    a, b = (int(x) if x else None for x in m.groups())
+    n = df.count() if (a or 0) < 0 or (b or 0) < 0 else 0
+    a, b = max(0, n + a if (a or 0) < 0 else a or 0), n + b if b is not None and b < 0 else b
+    rows = df.select(*columns, *place).orderBy("_file", "_row").offset(a)
+    return (rows if b is None else rows.limit(max(0, b - a))).select(*columns)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -114,12 +126,7 @@ def replace_json(spark: SparkSession, path: str, value) -> None:
     from tracemill.sources.manifest import Manifest
 
     folder, _, name = path.rpartition("/")
-    m = Manifest(spark, folder)
-    m.commit(value)
-    fs, current = hadoop_path(spark, f"{folder}/CURRENT")
-    _, target = hadoop_path(spark, path)
-    fs.delete(target, False)
-    fs.rename(current, target)
+    Manifest(spark, folder, name).commit(value)
 
 
 def point_lookup(df: DataFrame, key: str, values: list[str]) -> DataFrame:

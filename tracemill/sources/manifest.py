@@ -11,13 +11,13 @@ from tracemill.session import hadoop_path
 
 
 class Manifest:
-    """``<path>/CURRENT``; readers see the old or the new state, never a mixture."""
+    """``<path>/<name>``; readers see the old or the new state, never a mixture."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, name: str = "CURRENT"):
+        self.spark, self.path, self.name = spark, path.rstrip("/"), name
 
     def read(self) -> dict | None:
-        fs, p = hadoop_path(self.spark, f"{self.path}/CURRENT")
+        fs, p = hadoop_path(self.spark, f"{self.path}/{self.name}")
         if not fs.exists(p):
             return None
         stream = fs.open(p)
@@ -27,11 +27,11 @@ class Manifest:
             stream.close()
 
     def commit(self, state: dict) -> None:
-        fs, tmp = hadoop_path(self.spark, f"{self.path}/CURRENT.{uuid.uuid4().hex}")
+        fs, tmp = hadoop_path(self.spark, f"{self.path}/{self.name}.{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        _, final = hadoop_path(self.spark, f"{self.path}/CURRENT")
+        _, final = hadoop_path(self.spark, f"{self.path}/{self.name}")
         context = self.spark.sparkContext
         rename = context._jvm.org.apache.hadoop.fs.Options.Rename
         option = context._gateway.new_array(rename, 1)
