@@ -57,7 +57,7 @@ from tracemill.sources.manifest import Manifest
 #: Texts of one band key that meet all others at a time.
 LEADERS = 64
 #: Batches made ready ahead.
-AHEAD = 2
+AHEAD = 1
 #: Contested lines and links of a batch that one task settles; more are settled in parallel rounds, with the same result.
 ONE_TASK = 200_000
 #: A number is generation, writing task and row: bits of the last two.
@@ -191,14 +191,15 @@ class AcceptedIndex:
         first, self.bytes_read = self.state["next"], []
         scratches = [Scratch(self.spark) for _ in batches]
         try:
-            with ThreadPoolExecutor(AHEAD) as pool:
+            # Each Python thread has a thread of the JVM for good: two pools for all batches.
+            with ThreadPoolExecutor(AHEAD) as pool, ThreadPoolExecutor(2) as writers:
                 start = lambda i: pool.submit(self._prepare, scratches[i], batches[i], first + i, order, line_id, name, scope, text)
                 ready = {i: start(i) for i in range(min(AHEAD, len(batches)))}
                 for i, tmp in enumerate(scratches):
                     batch = ready.pop(i).result()
                     if i + AHEAD < len(batches):
                         ready[i + AHEAD] = start(i + AHEAD)
-                    self._take(tmp, first + i, *batch, measure)
+                    self._take(tmp, writers, first + i, *batch, measure)
                     tmp.__exit__()
         finally:
             for tmp in scratches:
@@ -236,7 +237,7 @@ class AcceptedIndex:
         small = size <= self.one_task and found.where(F.col("kind") == WAITS).isEmpty()
         return lines.select(F.col(line_id).alias("line")).distinct(), nodes, classes, found, links, at if small else None
 
-    def _take(self, tmp: Scratch, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, at: str | None, measure: bool) -> None:
+    def _take(self, tmp: Scratch, writers: ThreadPoolExecutor, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, at: str | None, measure: bool) -> None:
         """Judges a prepared batch against the history and within itself, and commits it."""
         todo, folders = nodes, [r["path"] for r in self.state["runs"]]
         if folders:
@@ -263,7 +264,7 @@ class AcceptedIndex:
                 found = tmp.written(self._probe(self._keys(classes.drop("ord").join(own, "tid")), []), "found")
                 links, _ = self._links(tmp, classes, found)
             kept = reduce(DataFrame.unionByName, accepted)
-        self._commit(gen, kept, classes, lines)
+        self._commit(writers, gen, kept, classes, lines)
 
     def judged(self, *gens: int) -> DataFrame:
         """(line, accepted) of the named ingests, or of all."""
@@ -312,19 +313,18 @@ class AcceptedIndex:
     def _waiting(self, classes: DataFrame, found: DataFrame) -> DataFrame:
         return found.where(F.col("kind") == WAITS).select(F.col("a").alias("num")).join(classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits"))
 
-    def _commit(self, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
+    def _commit(self, writers: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
         fresh = classes.join(kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
         texts = fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", F.expr(f"shiftright(num, {_ROW_BITS}) & {2**_SLOT_BITS - 1}").cast("int").alias("slot"))
         run = f"{self.path}/keys/run-{gen}-0"
         keys = self._keys(fresh).drop("ord").unionByName(self._names(kept.withColumn("ord", F.lit(0))).drop("ord"))
         verdict = kept.select("line").distinct().withColumn("accepted", F.lit(True))
         judged = lines.join(verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-        with ThreadPoolExecutor(3) as pool:
-            jobs = [
-                pool.submit(write_run, texts, f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
-                pool.submit(write_run, keys, run, "bucket", "key", self.block),
-                pool.submit(judged.write.mode("overwrite").parquet, f"{self.path}/judged/gen={gen}"),
-            ]
+        jobs = [
+            writers.submit(write_run, texts, f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
+            writers.submit(write_run, keys, run, "bucket", "key", self.block),
+        ]
+        judged.write.mode("overwrite").parquet(f"{self.path}/judged/gen={gen}")
         for job in jobs:
             job.result()
         runs, merged = [*self.state["runs"], {"path": run, "level": 0}], []
