@@ -74,3 +74,20 @@ def whole_group_split(groups: DataFrame, target: int, seed: str, name: str) -> D
     w = Window.partitionBy("size").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256))
     ranked = groups.withColumn("_r", F.row_number().over(w)).join(quota, "size", "left")
     return ranked.select("component", "size", F.when(F.col("_r") <= F.coalesce("quota", F.lit(0)), name).otherwise("rest").alias("split"))
+
+
+def split_tasks(groups: DataFrame, row: str, sizes: dict[str, int], seed: str) -> DataFrame:
+    """row, component, split: one split after another takes whole components of exactly its size, the others are 'rest'.
+
+    ``groups`` has (row, component). A size that no components add up to raises ValueError.
+    """
+    left = groups.groupBy("component").agg(F.count("*").alias("size"))
+    left, parts = written(left, "components"), []
+    for name, size in sizes.items():
+        split = written(whole_group_split(left, size, f"{seed}:{name}", name), "split")
+        parts.append(split.where(F.col("split") == name))
+        left = split.where(F.col("split") == "rest").select("component", "size")
+    out = left.withColumn("split", F.lit("rest"))
+    for p in parts:
+        out = out.unionByName(p)
+    return groups.select(row, "component").join(out.select("component", "split"), "component")

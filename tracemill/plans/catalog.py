@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.plans import behavior, content, experiments, flows, sequences, training_core
+from tracemill.plans import behavior, content, corpus, experiments, flows, rollouts, sequences, training_core
 
-MODULES = [training_core, behavior, experiments, sequences, content, flows]
+MODULES = [training_core, behavior, experiments, sequences, content, flows, rollouts, corpus]
 
 
 def queries() -> dict:

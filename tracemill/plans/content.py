@@ -114,14 +114,12 @@ def _components(spark, sf) -> DataFrame:
     return cc.components(d.select("doc_id", F.explode(keys).alias("k")), "doc_id", "k")
 
 
+@query(f"with {_LINK} select doc_id, component from co")
 def linked_components(spark, sf):
-    """Documents linked by equal text, or by round and length. The SQL twin is quadratic in a component; see the tests."""
+    """Documents linked by equal text, or by round and length."""
     return _components(spark, sf)
 
 
-QUERIES["linked_components"] = linked_components
-
-
 @query("""with s as (select o_orderkey, case when o_orderkey % 10 = 0 then 'test' when o_orderkey % 10 = 1 then 'val' else 'train' end as split from orders)
 select split, count(*)::bigint as n, count(*) filter (o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R'))::bigint as covered from s group by 1""")
 def split_checks(spark, sf):
@@ -388,6 +386,14 @@ def top_gaps(spark, sf):
     return g.orderBy((F.col("gap_end") - F.col("gap_start")).desc(), "l_suppkey", "gap_start").limit(15)
 
 
+@query(f"with {_INT} select l_suppkey, count(*)::bigint as spans, round(sum(epoch(e) - epoch(s)) / nullif(max(epoch(e)) - min(epoch(s)), 0), 6) as utilization from mg group by 1")
+def stream_utilization(spark, sf):
+    """Busy time of each stream over the time between its first start and last end."""
+    sec = lambda c: F.unix_timestamp(c)
+    m = _merged(spark, sf)
+    return m.groupBy("l_suppkey").agg(F.count("*").alias("spans"), r6(ratio(F.sum(sec("e") - sec("s")), F.max(sec("e")) - F.min(sec("s")))).alias("utilization"))
+
+
 @query(f"""with {_INT}, g as (select l_suppkey, e as gap_start, lead(s) over (partition by l_suppkey order by s) as gap_end from mg qualify gap_end > gap_start)
 select l_suppkey, gap_start, arg_min(c_custkey, (o_orderdate, o_orderkey)) as cause from g join (select o_orderkey, o_orderdate, o_custkey as c_custkey, o_orderkey % (select count(*) from supplier) as sk from orders) o on o.sk = g.l_suppkey and o_orderdate >= gap_start and o_orderdate < gap_end group by 1, 2""")
 def gap_cause(spark, sf):
