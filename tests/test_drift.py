@@ -91,14 +91,39 @@ def test_parquet_files(spark, tmp_path):
     df, log = d.scan_drifting_parquet(spark, [a, b, c])
     assert df.schema.simpleString() == "struct<id:bigint,v:string,old:double,new:boolean>"
     assert sorted(map(tuple, df.collect()), key=lambda r: r[0]) == [(1, "x", 1.5, None), (2, "y", 2.5, None), (3, "7", None, True)]
-    assert [(k, f) for _, k, f, _ in log] == [("removed", "old"), ("added", "new"), ("retyped", "id"), ("retyped", "v"), ("unreadable", "")]
+    assert [(r.kind, r.field) for r in log.orderBy("place", F.expr("array_position(array('removed', 'added', 'retyped'), kind)"), "field").collect()] == [("removed", "old"), ("added", "new"), ("retyped", "id"), ("retyped", "v"), ("unreadable", "")]
 
 
 def test_lattice():
     from pyspark.sql import types as T
 
-    assert d.join_types(T.LongType(), T.FloatType()) == T.DoubleType()
+    assert d.join_types(T.LongType(), T.FloatType()) == d.join_types(T.LongType(), T.DoubleType()) == T.StringType()
+    assert d.join_types(T.IntegerType(), T.FloatType()) == T.DoubleType() and d.join_types(T.ShortType(), T.FloatType()) == T.FloatType()
+    assert d.join_types(T.DecimalType(10, 2), T.LongType()) == T.DecimalType(22, 2) and d.join_types(T.DecimalType(10, 2), T.DecimalType(9, 4)) == T.DecimalType(12, 4)
+    assert d.join_types(T.DecimalType(38, 2), T.DecimalType(38, 10)) == T.StringType() == d.join_types(T.DecimalType(5, 1), T.DoubleType())
+    assert d.join_types(T.MapType(T.StringType(), T.IntegerType()), T.MapType(T.StringType(), T.LongType())) == T.MapType(T.StringType(), T.LongType())
     assert d.join_types(T.NullType(), T.DateType()) == T.DateType()
     assert d.join_types(T.BooleanType(), T.LongType()) == T.StringType()
     for x in (T.LongType(), T.StringType(), T.ArrayType(T.IntegerType())):
         assert d.join_types(x, x) == x
+
+
+def test_nested_growth_and_exact_numbers(spark):
+    """A struct that gains a member, an array of such, and a long beside a double lose nothing."""
+    from tracemill.session import work_path
+
+    paths = []
+    for sql in (
+        "select 1 as i, named_struct('a', 1) as s, array(named_struct('x', 1)) as l, 9007199254740993 as n, cast(1.5 as decimal(5,1)) as d, map('k', 1) as m",
+        "select 2 as i, named_struct('b', 'q', 'a', 2L) as s, array(named_struct('y', 'z', 'x', 2)) as l, 0.5D as n, cast(2.25 as decimal(9,4)) as d, map('k', 2L) as m",
+        "select 3 as i, cast(null as struct<a:int>) as s, cast(null as array<struct<x:int>>) as l, cast(null as bigint) as n, cast(null as decimal(5,1)) as d, cast(null as map<string,int>) as m",
+    ):
+        path = work_path(spark, "nest")
+        spark.sql(sql).coalesce(1).write.parquet(path)
+        paths += spark.read.parquet(path).inputFiles()
+    df, log = d.scan_drifting_parquet(spark, paths)
+    got = {r.i: r for r in df.collect()}
+    assert (got[1].s.a, got[1].s.b, got[2].s.a, got[2].s.b, got[3].s) == (1, None, 2, "q", None)
+    assert got[1].l[0].asDict() == {"x": 1, "y": None} and got[2].l[0].asDict() == {"x": 2, "y": "z"} and got[3].l is None
+    assert got[1].n == "9007199254740993" and got[2].n == "0.5" and str(got[1].d) == "1.5000" and str(got[2].d) == "2.2500" and got[2].m == {"k": 2}
+    assert log.where("kind = 'retyped'").count() == 10

@@ -47,6 +47,22 @@ def test_bulk_and_incremental(spark):
     assert dim_rows(dim) == brute(rows)
 
 
+def test_store_equals_bulk_and_rewrites_only_touched_buckets(spark):
+    from tracemill.session import work_path
+
+    rows = sample(5)
+    df = spark.createDataFrame(rows, COLS)
+    store = h.HistoryStore(spark, work_path(spark, "history"), 4)
+    for n in sorted({r[2] for r in rows}):
+        store.merge(df.where(f"snapshot_no = {n}"))
+    assert dim_rows(store.versions()) == brute(rows)
+    again = h.HistoryStore(spark, store.path)
+    before = dict(again.state["open"])
+    again.merge(spark.createDataFrame([("x", "e0", 20, "b")], COLS))
+    assert sum(before[b] != g for b, g in again.state["open"].items()) == 1
+    assert dim_rows(again.versions()) == brute(rows + [("x", "e0", 20, "b")])
+
+
 def test_late_rows_are_told(spark):
     dim = h.scd2_merge(None, spark.createDataFrame([("x", "a", 5, "v")], COLS))
     new = spark.createDataFrame([("x", "a", 4, "w"), ("x", "a", 6, "v")], COLS)

@@ -208,7 +208,7 @@ def last_boxed(text: Column) -> Column:
 def normal_number(text: Column) -> Column:
     """A final answer's text: no dollar signs, blanks, thousands commas, units or trailing zeros of a decimal."""
     bare = F.regexp_replace(text, r"[\s$]|\\[!,;]|\\text\{[^}]*\}|(?<=\d),(?=\d{3})", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^\\d?frac\{([^{}]+)\}\{([^{}]+)\}$", "$1/$2"), r"(\.\d*?)0+$|\.$", "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"^\\d?frac\{([^{}]+)\}\{([^{}]+)\}$", "$1/$2"), r"(\.\d*?)0*$", "$1"), r"\.$", "")
 
 
 def tags_in_order(text: Column, tags: list[str]) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions.common import global_rank
 from tracemill.operators.nested import absent, strict_json
 from tracemill.session import written
 
@@ -182,12 +183,17 @@ def uniform_table(df: DataFrame, record: str, fields: dict[str, str]) -> DataFra
 
 # Parquet files ------------------------------------------------------------------
 
-#: Lattice of Spark types: the first listed pair result that applies.
-_WIDTH = {"boolean": 0, "byte": 1, "short": 2, "integer": 3, "long": 4, "float": 5, "double": 6}
+#: Whole numbers by width, with the decimal digits that hold them.
+_WHOLE = {"byte": (1, 3), "short": (2, 5), "integer": (3, 10), "long": (4, 20)}
 
 
 def join_types(a: T.DataType, b: T.DataType) -> T.DataType:
-    """Least type both can be cast to without loss of meaning; string at the top."""
+    """The least type that holds the values of both; string at the top.
+
+    Whole numbers widen, and join decimals as decimals; a float or double holds whole
+    numbers up to int, but a long or decimal beside it needs text, since neither holds the
+    other exactly. Structs join field by field, arrays and maps by their elements.
+    """
     if a == b:
         return a
     if isinstance(a, T.NullType):
@@ -198,16 +204,53 @@ def join_types(a: T.DataType, b: T.DataType) -> T.DataType:
         return join_schemas(a, b)
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return T.ArrayType(join_types(a.elementType, b.elementType), True)
-    wa, wb = _WIDTH.get(a.typeName()), _WIDTH.get(b.typeName())
-    if wa and wb:  # numbers; a long beside a float needs a double
-        if {wa, wb} & {5, 6} and {wa, wb} & {3, 4}:
-            return T.DoubleType()
-        return a if wa > wb else b
-    if {a.typeName(), b.typeName()} == {"date", "timestamp"}:
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType) and a.keyType == b.keyType:
+        return T.MapType(a.keyType, join_types(a.valueType, b.valueType), True)
+    names = {a.typeName(), b.typeName()}
+    if names <= set(_WHOLE):
+        return a if _WHOLE[a.typeName()] > _WHOLE[b.typeName()] else b
+    if names <= {*_WHOLE, "decimal"}:
+        whole, scale = (max(f(x) for x in (a, b)) for f in (_whole_digits, lambda x: x.scale if isinstance(x, T.DecimalType) else 0))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if names <= {"byte", "short", "float"}:
+        return T.FloatType()
+    if names <= {"byte", "short", "integer", "float", "double"}:
+        return T.DoubleType()
+    if names == {"date", "timestamp"}:
         return T.TimestampType()
     return T.StringType()
 
 
+def _whole_digits(t: T.DataType) -> int:
+    return t.precision - t.scale if isinstance(t, T.DecimalType) else _WHOLE[t.typeName()][1]
+
+
+def cast_to(c: Column, a: T.DataType, b: T.DataType) -> Column:
+    """A value of type ``a`` as its joined type ``b``: structs by field name, arrays and maps by element, anything else as text where ``b`` is a string."""
+    if a == b:
+        return c
+    if isinstance(b, T.StructType) and isinstance(a, T.StructType):
+        have = {f.name: f.dataType for f in a}
+        fields = [(cast_to(c[f.name], have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in b]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(b, T.ArrayType) and isinstance(a, T.ArrayType):
+        return F.transform(c, lambda x: cast_to(x, a.elementType, b.elementType))
+    if isinstance(b, T.MapType) and isinstance(a, T.MapType):
+        return F.transform_values(c, lambda _, v: cast_to(v, a.valueType, b.valueType))
+    if isinstance(b, T.StringType) and isinstance(a, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(c)
+    return c.cast(b)
+
+
+def _reads_as(a: T.DataType, b: T.DataType) -> bool:
+    """Whether a file's type ``a`` can be read with ``b`` directly: the same types, but for fields that it lacks."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return all(f.name in b.names and _reads_as(f.dataType, b[f.name].dataType) for f in a)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return _reads_as(a.elementType, b.elementType)
+    return a == b
+
+
 def join_schemas(a: T.StructType, b: T.StructType) -> T.StructType:
     """Union of fields by name, in order of first appearance, types joined."""
     names = dict.fromkeys([*a.names, *b.names])
@@ -232,41 +275,56 @@ def _footers(batches):
 
 
 def parquet_footers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, schema (JSON), problem, read by the executors."""
-    uris = [p if "://" in p else f"file://{p}" for p in paths]
-    files = spark.createDataFrame([(u,) for u in uris], "path string").repartition(max(1, min(len(uris), 1024)))
-    return files.mapInPandas(_footers, "path string, schema string, problem string")
+    """place (in the list), path, schema (JSON), problem, read by the executors."""
+    files = spark.createDataFrame([(i, p if "://" in p else f"file://{p}") for i, p in enumerate(paths)], "place bigint, path string")
+    files = files.repartition(max(1, min(len(paths), 1024)))
+    found = files.select("path").mapInPandas(_footers, "path string, schema string, problem string").distinct()
+    return files.join(found, "path")
 
 
-def scan_drifting_parquet(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
-    """(one table of the union schema, changes as (path, kind, field, detail)).
-
-    ``paths`` are in order of age. A field a file lacks is NULL; values that do not
-    fit the joined type's string form are kept as text. Unreadable files are
-    reported as ``unreadable`` and left out. Only distinct schemas and the change
-    log reach the driver, both bounded by the listed files.
+def _differences(pairs):
+    """(place, path, kind, field, detail) for pairs of a file's schema and the one before."""
+    for batch in pairs:
+        out = []
+        for place, path, before, now, problem in batch[["place", "path", "before", "schema", "problem"]].itertuples(index=False):
+            if now is None:
+                out.append((place, path, "unreadable", "", problem))
+                continue
+            old, new = ({f["name"]: T.StructType.fromJson({"type": "struct", "fields": [f]})[0].dataType for f in json.loads(s)["fields"]} for s in (before, now))
+            out += [(place, path, "removed", n, "") for n in old if n not in new]
+            out += [(place, path, "added", n, new[n].simpleString()) for n in new if n not in old]
+            out += [(place, path, "retyped", n, f"{old[n].simpleString()} -> {new[n].simpleString()}") for n in new if n in old and old[n] != new[n]]
+        yield pd.DataFrame(out, columns=["place", "path", "kind", "field", "detail"])
+
+
+def scan_drifting_parquet(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one table of the union schema, changes: place, path, kind, field, detail).
+
+    ``paths`` are in order of age. A field that a file lacks is NULL, also inside structs;
+    values are cast to the joined type by name. Unreadable files are reported as
+    ``unreadable`` and left out. Footers are read and folded by the executors: the driver
+    gets the distinct schemas, and the number of its schema for each listed file. Files
+    that read as the union schema are one scan; each other distinct schema is one more.
     """
-    rows = {r["path"]: r for r in parquet_footers(spark, paths).collect()}
-    order = [p if "://" in p else f"file://{p}" for p in paths]
-    log, union, last, groups = [], T.StructType([]), None, {}
-    for path in order:
-        row = rows[path]
-        if row["schema"] is None:
-            log.append((path, "unreadable", "", row["problem"]))
-            continue
-        schema = T.StructType.fromJson(json.loads(row["schema"]))
-        if last is not None:
-            old, new = {f.name: f.dataType for f in last}, {f.name: f.dataType for f in schema}
-            log += [(path, "removed", n, "") for n in old if n not in new]
-            log += [(path, "added", n, new[n].simpleString()) for n in new if n not in old]
-            log += [(path, "retyped", n, f"{old[n].simpleString()} -> {new[n].simpleString()}") for n in new if n in old and old[n] != new[n]]
-        union, last = join_schemas(union, schema), schema
-        groups.setdefault(row["schema"], []).append(path)
-    if not groups:
+    feet = written(parquet_footers(spark, paths), "footers")
+    ok = feet.where("schema is not null")
+    kinds = [r["schema"] for r in ok.groupBy("schema").agg(F.min("place").alias("first")).orderBy("first").collect()]
+    rank = global_rank(ok.select("place", "path", "schema"), "place")
+    before = rank.select((F.col("rank_no") + 1).alias("rank_no"), F.col("schema").alias("before"))
+    pairs = rank.join(before, "rank_no").where("schema <> before").select("place", "path", "before", "schema", F.lit(None).cast("string").alias("problem"))
+    torn = feet.where("schema is null").select("place", "path", F.lit(None).cast("string").alias("before"), "schema", "problem")
+    log = pairs.unionByName(torn).mapInPandas(_differences, "place bigint, path string, kind string, field string, detail string")
+    if not kinds:
         return spark.createDataFrame([], T.StructType([])), log
-    parts = []
-    for text, files in groups.items():
-        schema = T.StructType.fromJson(json.loads(text))
-        df = spark.read.schema(schema).parquet(*files)
-        parts.append(df.select(*((F.to_json(f.name) if isinstance(u.dataType, T.StringType) and isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{u.name}`").cast(u.dataType)).alias(u.name) if (f := next((x for x in schema if x.name == u.name), None)) else F.lit(None).cast(u.dataType).alias(u.name) for u in union)))
+    schemas = [T.StructType.fromJson(json.loads(k)) for k in kinds]
+    union = reduce(join_schemas, schemas)
+    numbers = spark.createDataFrame(list(enumerate(kinds)), "kind int, schema string")
+    groups: dict[int, list[str]] = {}
+    for place, kind in ok.join(numbers, "schema").select("place", "kind").orderBy("place").collect():
+        groups.setdefault(-1 if _reads_as(schemas[kind], union) else kind, []).append(paths[place])
+    parts = [spark.read.schema(union).parquet(*groups.pop(-1))] if -1 in groups else []
+    for kind, files in groups.items():
+        have = {f.name: f.dataType for f in schemas[kind]}
+        df = spark.read.schema(schemas[kind]).parquet(*files)
+        parts.append(df.select(*((cast_to(F.col(f"`{u.name}`"), have[u.name], u.dataType) if u.name in have else F.lit(None).cast(u.dataType)).alias(u.name) for u in union)))
     return reduce(DataFrame.unionByName, parts), log

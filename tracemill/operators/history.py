@@ -24,9 +24,14 @@ write time the largest tie-break wins, a null write time is earliest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import hadoop_path
+from tracemill.sources.manifest import Manifest
+
 #: Runs of Unicode white space.
 WHITE = r"[\s\u0085   -     　]+"
 
@@ -50,18 +55,19 @@ def latest_rows(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col("_best")[c].alias(c) for c in rest))
 
 
-def scd2_merge(dim: DataFrame | None, snapshots: DataFrame) -> DataFrame:
+def scd2_merge(dim: DataFrame | None, snapshots: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Merge reduced snapshots into a version dimension.
 
     ``snapshots``: scope, entity, snapshot_no, state_hash; one row per (scope,
     entity, snapshot_no). ``dim`` (or None): scope, entity, state_hash,
     first_snapshot, last_snapshot, scope_last, where scope_last is the newest
-    snapshot merged for the scope. Returns the new ``dim`` whole.
+    snapshot merged for the scope. ``heads`` (scope, scope_last) names it also for scopes
+    without a version in ``dim``. Returns the new ``dim`` whole.
     """
     # The snapshots a scope has, numbered; with a dimension, counting goes on from its newest.
     have = snapshots.select("scope", "snapshot_no").distinct()
     if dim is not None:
-        last = dim.groupBy("scope").agg(F.max("scope_last").alias("scope_last"))
+        last = heads if heads is not None else dim.groupBy("scope").agg(F.max("scope_last").alias("scope_last"))
         have = have.join(last, have["scope"].eqNullSafe(last["scope"]), "left").select(have["scope"], "snapshot_no", "scope_last")
         have = have.where("scope_last is null or snapshot_no > scope_last").drop("scope_last")
         snapshots = _same(snapshots, have, ["scope", "snapshot_no"])
@@ -122,3 +128,53 @@ def skillbank_states(bank: DataFrame) -> DataFrame:
         attribute_hash(F.col("version"), F.col("enabled"), squeezed(F.col("content"))).alias("state_hash"),
     ).where("snapshot_no is not null")
     return latest_rows(rows, ["scope", "entity", "snapshot_no"], ["ingested_at", "bank_row"]).select("scope", "entity", "snapshot_no", "state_hash")
+
+
+_VERSION = "scope string, entity string, state_hash string, first_snapshot int, last_snapshot int, scope_last int, bucket int"
+
+
+class HistoryStore:
+    """A stored version dimension, partitioned into closed and open versions and by a hash of the scope.
+
+    A merge reads the open versions of the buckets that its snapshots touch, and nothing
+    else: changed and missing ones are closed and appended, the buckets' open versions
+    are written anew, and one rename commits. Closed versions are never read or rewritten,
+    nor are open ones of other buckets.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = Manifest(spark, path)
+        self.state = self.manifest.read() or {"buckets": buckets, "next": 0, "open": {}, "closed": []}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        """Versions of the folders that exist; a bucket without open versions has none."""
+        there = [f for f in folders if (fs := hadoop_path(self.spark, f))[0].exists(fs[1])]
+        parts = [self.spark.read.schema(_VERSION).parquet(f).drop("bucket") for f in there]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _VERSION).drop("bucket")
+
+    def merge(self, snapshots: DataFrame) -> None:
+        """Takes in snapshots (scope, entity, snapshot_no, state_hash) newer than those merged for their scopes."""
+        state, gen = self.state, self.state["next"]
+        bucket = F.pmod(F.xxhash64("scope"), F.lit(state["buckets"])).cast("int")
+        touched = [str(r[0]) for r in snapshots.select(bucket.alias("b")).distinct().collect()]  # at most the number of buckets
+        at = lambda g, kind, b: f"{self.path}/gen={g}/kind={kind}/bucket={b}"
+        olds = [(state["open"][b], b) for b in touched if b in state["open"]]
+        dim = self._read([at(g, "open", b) for g, b in olds])
+        # A scope's newest snapshot stands in a row of its own, as all its versions may be closed.
+        marks = self._read([at(g, "head", b) for g, b in olds])
+        heads = marks.select("scope", "scope_last")
+        out = scd2_merge(dim, snapshots, heads).select("scope", "entity", "state_hash", "first_snapshot", "last_snapshot", "scope_last")
+        kind = F.when(F.col("last_snapshot") == F.col("scope_last"), "open").otherwise("closed")
+        new = snapshots.groupBy("scope").agg(F.max("snapshot_no").alias("scope_last")).unionByName(heads).groupBy("scope").agg(F.max("scope_last").alias("scope_last"))
+        none = F.lit(None).cast("string")
+        new = new.select("scope", none.alias("entity"), none.alias("state_hash"), F.lit(None).cast("int").alias("first_snapshot"), F.lit(None).cast("int").alias("last_snapshot"), "scope_last", F.lit("head").alias("kind"))
+        rows = out.withColumn("kind", kind).unionByName(new).withColumn("bucket", bucket)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{self.path}/gen={gen}")
+        self.state = state | {"next": gen + 1, "open": state["open"] | {b: gen for b in touched}, "closed": [*state["closed"], gen]}
+        self.manifest.commit(self.state)
+
+    def versions(self) -> DataFrame:
+        """All versions, closed and open."""
+        opened = [f"{self.path}/gen={g}/kind=open/bucket={b}" for b, g in self.state["open"].items()]
+        return self._read([f"{self.path}/gen={g}/kind=closed" for g in self.state["closed"]]).unionByName(self._read(opened))

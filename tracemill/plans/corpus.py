@@ -105,7 +105,9 @@ case when len(list_filter(want, lambda x: list_contains(got, x))) = 0 then 'none
 def outcome_report(spark, sf):
     got, want = F.split("p_name", " "), F.array("p_brand", F.lit("widget"), F.lit("red"), F.lit("ring"))
     rows = table(spark, sf, "part").select("p_partkey", got.alias("g"), want.alias("w"))
-    hit, miss, more = (F.size(F.filter(a, lambda x, b=b, k=k: F.array_contains(b, x) if k else ~F.array_contains(b, x))) for a, b, k in ((F.col("w"), F.col("g"), 1), (F.col("w"), F.col("g"), 0), (F.col("g"), F.col("w"), 0)))
+    within = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(b, x)))
+    hit = within(F.col("w"), F.col("g"))
+    miss, more = F.size("w") - hit, F.size("g") - within(F.col("g"), F.col("w"))
     return rows.select("p_partkey", hit.alias("matched"), miss.alias("missing"), more.alias("extra"), F.when(hit == 0, "none").when(more == 0, "within").otherwise("partly").alias("outcome"))
 
 

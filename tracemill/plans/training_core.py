@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import delivery, drift, history, nested
-from tracemill.session import work_path
+from tracemill.session import work_path, written
 from tracemill.sources.tables import table
 
 TRACE_LISTS = [
@@ -33,11 +33,51 @@ def p2_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return drift.uniform_table(pool.drop("content"), "metadata", fields).drop("metadata")
 
 
+def _drifting_files(spark: SparkSession, sf: str) -> list[str]:
+    """lineitem as four files' worth of differing headers: widened, grown inside a struct, reordered, retyped, with fields gone and come."""
+    l = table(spark, sf, "lineitem")
+    info = lambda *names: F.struct(*(F.col({"flag": "l_returnflag", "status": "l_linestatus"}[n]).alias(n) for n in names)).alias("info")
+    parts = [
+        [F.col("l_orderkey").cast("int").alias("id"), F.col("l_quantity").alias("qty"), info("flag"), F.col("l_shipdate").cast("date").cast("string").alias("note")],
+        [F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("int").alias("qty"), info("flag", "status"), F.lit("x").alias("note")],
+        [info("status", "flag"), F.col("l_quantity").alias("qty"), F.col("l_orderkey").alias("id"), F.array(F.struct(F.col("l_linenumber").alias("a"))).alias("tags")],
+        [F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("qty"), info("flag", "status"), F.col("l_linenumber").alias("note"), F.array(F.struct(F.col("l_partkey").alias("a"), F.lit("k").alias("b"))).alias("tags")],
+    ]
+    files = []
+    for k, columns in enumerate(parts):
+        path = work_path(spark, "drift")
+        l.where(F.col("l_linenumber") % 4 == k).select(*columns).coalesce(2).write.parquet(path)
+        files += sorted(spark.read.parquet(path).inputFiles())
+    return files
+
+
+def p2_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of drifting headers read as one table."""
+    df, _ = drift.scan_drifting_parquet(spark, _drifting_files(spark, sf))
+    tag = F.try_element_at("tags", F.lit(1))
+    return df.select("id", "qty", "info.flag", "info.status", "note", tag["a"].alias("tag_a"), tag["b"].alias("tag_b"))
+
+
+def p2_file_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed from one file to the next."""
+    _, log = drift.scan_drifting_parquet(spark, _drifting_files(spark, sf))
+    return log.select("kind", "field", "detail").distinct()
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     dim = history.scd2_merge(None, history.skillbank_states(table(spark, sf, "selected_skillbank")))
     return dim.select(F.col("scope").alias("run_id"), F.col("entity").alias("skill_id"), "first_snapshot", "last_snapshot")
 
 
+def p3_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """As p3_found, from a store that takes the snapshots in one after another."""
+    states = written(history.skillbank_states(table(spark, sf, "selected_skillbank")), "states")
+    store = history.HistoryStore(spark, work_path(spark, "history"))
+    for (no,) in sorted(states.select("snapshot_no").distinct().collect()):  # a row for each snapshot number
+        store.merge(states.where(F.col("snapshot_no") == no))
+    return store.versions().select(F.col("scope").alias("run_id"), F.col("entity").alias("skill_id"), "first_snapshot", "last_snapshot")
+
+
 def p3_current(spark: SparkSession, sf: str) -> DataFrame:
     """The open versions: those that hold in their run's newest snapshot."""
     dim = history.scd2_merge(None, history.skillbank_states(table(spark, sf, "selected_skillbank")))
@@ -113,7 +153,7 @@ def page_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.concat_ws("->", "before", "page_type").alias("transition")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (episode_rollup, page_transitions, p2_found, p2_union_types, p2_uniform, p3_found, p3_current, p4_found, p4_replay, p6_found, p6_hits, p6_steps, p6_history)}
+QUERIES = {f.__name__: f for f in (episode_rollup, page_transitions, p2_found, p2_union_types, p2_uniform, p2_files, p2_file_log, p3_found, p3_merged, p3_current, p4_found, p4_replay, p6_found, p6_hits, p6_steps, p6_history)}
 
 _STATES = """
 r as (select run_id, skill_id, snapshot_no, version, enabled,
@@ -186,7 +226,13 @@ union all select run_id, round_no, 'added', '', field from side s where is_old =
 union all select run_id, round_no, 'retyped', field, field from lm where mask > 0 and lastm is not null and lastm <> mask""",
     "p2_union_types": f"""with {_CELLS}
 select field, case bit_or(mask) when 0 then 'void' when 1 then 'string' when 2 then 'number' when 4 then 'boolean' when 8 then 'array' when 16 then 'object' else 'string' end as union_type from f group by field""",
+    "p2_files": """select l_orderkey as id, l_quantity as qty, l_returnflag as flag, case when l_linenumber % 4 > 0 then l_linestatus end as status,
+case l_linenumber % 4 when 0 then strftime(l_shipdate, '%Y-%m-%d') when 1 then 'x' when 3 then l_linenumber::varchar end as note, case l_linenumber % 4 when 2 then l_linenumber::bigint when 3 then l_partkey end as tag_a, case when l_linenumber % 4 = 3 then 'k' end as tag_b from lineitem""",
+    "p2_file_log": """select * from (values ('retyped', 'id', 'int -> bigint'), ('retyped', 'qty', 'double -> int'), ('retyped', 'info', 'struct<flag:string> -> struct<flag:string,status:string>'),
+('retyped', 'info', 'struct<flag:string,status:string> -> struct<status:string,flag:string>'), ('retyped', 'qty', 'int -> double'), ('removed', 'note', ''), ('added', 'tags', 'array<struct<a:int>>'),
+('retyped', 'info', 'struct<status:string,flag:string> -> struct<flag:string,status:string>'), ('added', 'note', 'int'), ('retyped', 'tags', 'array<struct<a:int>> -> array<struct<a:bigint,b:string>>')) v(kind, field, detail)""",
     "p3_found": f"with {_STATES} select run_id, skill_id, first_snapshot, last_snapshot from p",
+    "p3_merged": f"with {_STATES} select run_id, skill_id, first_snapshot, last_snapshot from p",
     "p3_current": f"with {_STATES} select run_id, skill_id, first_snapshot from p where last_snapshot = top",
     "p4_found": f"with {_COPIES} select delivery_id from d where rn > 1",
     "p4_replay": f"""with {_COPIES},
