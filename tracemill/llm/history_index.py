@@ -63,6 +63,7 @@ ONE_TASK = 200_000
 #: A number is generation, writing task and row: bits of the last two.
 _SLOT_BITS, _ROW_BITS = 17, 27
 
+_CLASSES = "tid binary, ord {ord}, scope {scope}, text string, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>, num bigint"
 _KEYS = "bucket int, key bigint, num bigint, runs int, word bigint"
 _TEXTS = "num bigint, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string"
 #: What a probe finds: a candidate in the history, one in the batch, a known name, a text that waits, and the bytes it read.
@@ -168,6 +169,25 @@ def _neighbours(folder: str) -> dict[bytes, list[bytes]]:
     return out
 
 
+def _numberer(gen: int):
+    """``at``, a writing task and a row, as a number that also names the generation."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = ints(batch, "at")
+            slot, row = at >> 33, at & (2**33 - 1)
+            if len(at) and (slot.max() >= 2**_SLOT_BITS or row.max() >= 2**_ROW_BITS):
+                raise ValueError("a batch has at most 2^17 writing tasks of 2^27 texts")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((gen << (_SLOT_BITS + _ROW_BITS)) + (slot << _ROW_BITS) + row)], names=[*batch.schema.names[:-1], "num"])
+
+    return number
+
+
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size: nothing of a batch goes through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _name_key(column: str):
     return F.xxhash64(F.lit("name"), column), F.xxhash64(F.lit("check"), column)
 
@@ -222,19 +242,18 @@ class AcceptedIndex:
         nodes = tmp.written(nodes.select("name", "tid", "first.ord", "first.line", "scope", "text"), "nodes")
         classes = nodes.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"), F.first("scope").alias("scope"), F.first("text").alias("text"))
         classes = classes.withColumn("f", likeness.band_features(F.col("text"))).select("tid", "ord", "scope", "text", "f.*", F.monotonically_increasing_id().alias("at"))
-        slot, row = F.expr("shiftright(at, 33)"), F.expr("at & 8589934591")
-        fits = F.assert_true((slot < 2**_SLOT_BITS) & (row < 2**_ROW_BITS), "a batch has at most 2^17 writing tasks of 2^27 texts")
-        num = F.lit(gen << (_SLOT_BITS + _ROW_BITS)) + slot * 2**_ROW_BITS + row
-        classes = tmp.written(classes.select("tid", "ord", "scope", "text", "runs", "s0", "s1", "s2", "s3", "keys", F.coalesce(fits.cast("bigint"), num).alias("num")), "classes")
+        classes = classes.mapInArrow(_numberer(gen), _CLASSES.format(ord=classes.schema["ord"].dataType.simpleString(), scope=classes.schema["scope"].dataType.simpleString()))
+        classes = tmp.written(classes, "classes")
         found = tmp.written(self._probe(self._keys(classes), []), "found")
         links, at = self._links(tmp, classes, found)
         nodes = nodes.select("name", "tid", "ord", "line")
         more = lambda c: nodes.where(F.col(c).isNotNull()).groupBy(c).agg((F.count("*") > 1).alias(f"many_{c}"))
         linked = links.select(F.col("t").alias("tid"), F.lit(True).alias("linked")).distinct()
         flag = F.coalesce("many_name", F.lit(False)) | F.coalesce("many_tid", F.lit(False)) | F.coalesce("linked", F.lit(False))
-        nodes = tmp.written(nodes.join(more("tid"), "tid", "left").join(linked, "tid", "left").join(more("name"), "name", "left").select("name", "tid", "ord", "line", flag.alias("contested")), "flagged")
-        size = nodes.agg(F.count_if("contested")).first()[0] + links.count() // 2
-        small = size <= self.one_task and found.where(F.col("kind") == WAITS).isEmpty()
+        nodes = tmp.written(_join(_join(_join(nodes, more("tid"), "tid", "left"), linked, "tid", "left"), more("name"), "name", "left").select("name", "tid", "ord", "line", flag.alias("contested")), "flagged")
+        stats = nodes.where("contested").select(F.lit(0).alias("w")).unionByName(links.select(F.lit(0).alias("w"))).unionByName(found.where(F.col("kind") == WAITS).select(F.lit(1).alias("w")))
+        size, waits = stats.agg(F.count("*"), F.count_if(F.col("w") == 1)).first()
+        small = size <= self.one_task and not waits
         return lines.select(F.col(line_id).alias("line")).distinct(), nodes, classes, found, links, at if small else None
 
     def _take(self, tmp: Scratch, writers: ThreadPoolExecutor, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, at: str | None, measure: bool) -> None:
@@ -261,7 +280,7 @@ class AcceptedIndex:
                     break
                 # What waited behind leaders meets its like: among themselves only, as the leaders' links are complete.
                 own = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"))
-                found = tmp.written(self._probe(self._keys(classes.drop("ord").join(own, "tid")), []), "found")
+                found = tmp.written(self._probe(self._keys(_join(classes.drop("ord"), own, "tid")), []), "found")
                 links, _ = self._links(tmp, classes, found)
             kept = reduce(DataFrame.unionByName, accepted)
         self._commit(writers, gen, kept, classes, lines)
@@ -290,36 +309,36 @@ class AcceptedIndex:
 
     def _unknown(self, nodes: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
         """The nodes whose name and text the history does not have."""
-        pairs = met.where(F.col("kind") == OLD).select(F.col("a").alias("num"), "b").join(classes.select("num", "s0", "s1", "s2", "s3"), "num")
+        pairs = _join(met.where(F.col("kind") == OLD).select(F.col("a").alias("num"), "b"), classes.select("num", "s0", "s1", "s2", "s3"), "num")
         pairs = pairs.withColumnRenamed("num", "a").repartition(F.shiftright("b", _ROW_BITS)).sortWithinPartitions("b")
         near = pairs.mapInArrow(_fetcher(f"{self.path}/texts"), "a bigint, b bigint, text_b string")
-        both = near.join(classes.select(F.col("num").alias("a"), "tid", "text"), "a")
+        both = _join(near, classes.select(F.col("num").alias("a"), "tid", "text"), "a")
         known = both.where(likeness.are_like("text", "text_b")).select("tid").distinct()
         name_a, name_b = _name_key("name")
         names = met.where(F.col("kind") == NAME).select(F.col("a").alias("h"), F.col("b").alias("c"))
-        return nodes.join(known, "tid", "left_anti").join(names, (name_a == F.col("h")) & (name_b == F.col("c")), "left_anti")
+        return _join(_join(nodes, known, "tid", "left_anti"), names, (name_a == F.col("h")) & (name_b == F.col("c")), "left_anti")
 
     def _links(self, tmp: Scratch, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
         """Both directions (t, u) of the like pairs within a batch, and the folder of one direction."""
         by_num = classes.select(F.col("num").alias("tid"), "runs", "s0", "s1", "s2", "s3", "text")
         links = likeness.verified(found.where(F.col("kind") == NEW).select("a", "b"), by_num, by_num)
         ids = classes.select("num", "tid")
-        links = links.join(ids.select(F.col("num").alias("a"), F.col("tid").alias("t")), "a").join(ids.select(F.col("num").alias("b"), F.col("tid").alias("u")), "b").select("t", "u")
+        links = _join(_join(links, ids.select(F.col("num").alias("a"), F.col("tid").alias("t")), "a"), ids.select(F.col("num").alias("b"), F.col("tid").alias("u")), "b").select("t", "u")
         at = tmp.path("links")
         links.write.parquet(at)
         links = self.spark.read.schema(links.schema).parquet(at)
         return links.unionByName(links.select(F.col("u").alias("t"), F.col("t").alias("u"))), at
 
     def _waiting(self, classes: DataFrame, found: DataFrame) -> DataFrame:
-        return found.where(F.col("kind") == WAITS).select(F.col("a").alias("num")).join(classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits"))
+        return _join(found.where(F.col("kind") == WAITS).select(F.col("a").alias("num")), classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits"))
 
     def _commit(self, writers: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
-        fresh = classes.join(kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
+        fresh = _join(classes, kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
         texts = fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", F.expr(f"shiftright(num, {_ROW_BITS}) & {2**_SLOT_BITS - 1}").cast("int").alias("slot"))
         run = f"{self.path}/keys/run-{gen}-0"
         keys = self._keys(fresh).drop("ord").unionByName(self._names(kept.withColumn("ord", F.lit(0))).drop("ord"))
         verdict = kept.select("line").distinct().withColumn("accepted", F.lit(True))
-        judged = lines.join(verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        judged = _join(lines, verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
         jobs = [
             writers.submit(write_run, texts, f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
             writers.submit(write_run, keys, run, "bucket", "key", self.block),
@@ -348,7 +367,7 @@ def _greedy(tmp: Scratch, todo: DataFrame, links: DataFrame, waits: DataFrame) -
     ``links`` has both directions of like texts. A node whose text ``waits`` can be
     refused but not accepted. Each round is written and shrinks the undecided.
     """
-    todo = todo.select("name", "tid", "ord", "line").join(waits, "tid", "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
+    todo = _join(todo.select("name", "tid", "ord", "line"), waits, "tid", "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
     done: DataFrame | None = None
     while True:
         state = tmp.written(_round(todo, links), "round")

@@ -171,14 +171,15 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) whose texts are like.
 
     ``left`` and ``right`` have tid, runs, s0..s3, text, a row for each id. First
-    the sketches (40 bytes a side) thin the pairs out, then texts are fetched.
+    the sketches (40 bytes a side) thin the pairs out, then texts are fetched. All joins are
+    sort-merge joins: neither sketches nor texts go through the driver.
     """
     slim = ["tid", "runs", "s0", "s1", "s2", "s3"]
     near = (
-        pairs.join(left.select(*slim).alias("x"), F.col("a") == F.col("x.tid"))
-        .join(right.select(*slim).alias("y"), F.col("b") == F.col("y.tid"))
+        pairs.join(left.select(*slim).hint("merge").alias("x"), F.col("a") == F.col("x.tid"))
+        .join(right.select(*slim).hint("merge").alias("y"), F.col("b") == F.col("y.tid"))
         .where(may_be_like("x", "y"))
         .select("a", "b")
     )
-    texts = near.join(left.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(right.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = near.join(left.select(F.col("tid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(right.select(F.col("tid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return texts.where(are_like("text_a", "text_b")).select("a", "b")
