@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 from importlib import import_module
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,34 @@ class Registry:
 
 
 REGISTRY = Registry()
-for _kind, _n in {"reward": 1, "filter": 1, "reducer": 2, "weight": 2, "hook": 1}.items():
+#: Extension points with the number of their required arguments.
+KINDS = {"reward": 1, "group_reward": 1, "filter": 1, "buffer_filter": 1, "sample_filter": 1, "reducer": 2, "weight": 2, "hook": 1, "rollout": 2, "generate": 1, "eval": 2, "log": 1, "loss": 2, "advantage": 2, "transform": 1, "validity": 1, "meta": 1}
+for _kind, _n in KINDS.items():
     REGISTRY.kind(_kind, _n)
 
 
+class SkillProvider(Protocol):
+    """Gives the skills of a task: a DataFrame with skill_id and content, best first by ``place``."""
+
+    def skills(self, task: DataFrame) -> DataFrame: ...
+
+
+def discover(package: str, registry: Registry = REGISTRY) -> list[str]:
+    """Loads a package's modules that name a ``TASK_TYPE`` and registers their transform, validity and meta functions under it; the names found, sorted."""
+    import pkgutil
+
+    root, found = import_module(package), []
+    for info in pkgutil.iter_modules(root.__path__):
+        module = import_module(f"{package}.{info.name}")
+        name = getattr(module, "TASK_TYPE", None)
+        if name:
+            for kind in ("transform", "validity", "meta"):
+                if hasattr(module, kind):
+                    registry.add(kind, name, getattr(module, kind))
+            found.append(name)
+    return sorted(found)
+
+
 def dispatch(kind_column: Column, builders: dict[str, Column], otherwise: Column | None = None, own: Column | None = None) -> Column:
     """The builder's column whose name the kind column has; an ``own`` value comes first. Names may have the prefix boxed_."""
     name = F.regexp_replace(kind_column, "^boxed_", "")

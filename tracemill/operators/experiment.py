@@ -125,3 +125,17 @@ def bootstrap_interval(deltas: DataFrame, metric: str, value: str, draws: int =
     tail = (1 - level) / 2
     p = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     return means.groupBy("metric").agg(F.max("n").alias("n"), (F.max("t") / F.max("n")).alias("mean"), p[0].alias("low"), p[1].alias("high"))
+
+
+def refit(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """One row: beta_<feature>, rank. Least squares without an intercept; k x k sums reach the driver, and a singular design is told by its rank."""
+    import numpy as np
+
+    k = len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = df.agg(*(F.sum(F.col(features[i]) * F.col(features[j])).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(F.col(f) * F.col(y)).alias(f"y{i}") for i, f in enumerate(features))).first()
+    gram = np.zeros((k, k))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
+    beta, _, rank, _ = np.linalg.lstsq(gram, np.array([sums[f"y{i}"] or 0.0 for i in range(k)]), rcond=1e-12)
+    return df.sparkSession.createDataFrame([(*map(float, beta), int(rank))], ", ".join([*(f"beta_{f} double" for f in features), "rank bigint"]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.plans import behavior, content, corpus, experiments, flows, rollouts, sequences, training_core
+from tracemill.plans import behavior, checks, content, corpus, experiments, flows, rollouts, sequences, training_core
 
-MODULES = [training_core, behavior, experiments, sequences, content, flows, rollouts, corpus]
+MODULES = [training_core, behavior, experiments, sequences, content, flows, rollouts, corpus, checks]
 
 
 def queries() -> dict:

@@ -36,7 +36,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     columns = df.columns if path.endswith(".parquet") else ["record"]
     if not m:
         return df.select(*columns)
-    a, b = (int(x) if x else None for x in m.groups())
+    a, b = (int(x) if x else None for x in m.groups()[1:])
     n = df.count() if (a or 0) < 0 or (b or 0) < 0 else 0
     a, b = max(0, n + a if (a or 0) < 0 else a or 0), n + b if b is not None and b < 0 else b
     rows = df.select(*columns, *place).orderBy("_file", "_row").offset(a)
@@ -45,7 +45,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 1), line. Each file is read whole, as line numbers need it; the files are read in parallel."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
+    text = spark.read.text(path.split(","), wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("l"))
     return text.select("path", F.posexplode("l").alias("p", "line")).select("path", (F.col("p") + 1).alias("line_no"), "line")
 
 
@@ -66,6 +66,25 @@ def latest_lines(lines: DataFrame, key_path: str) -> DataFrame:
     return best.select("key", F.parse_json("j").alias("record"), "attempts")
 
 
+def append_records(df: DataFrame, path: str) -> int:
+    """Appends rows as one batch of JSON lines under ``path``; the batch's number. A batch that fails leaves nothing that is read."""
+    from tracemill.sources.manifest import Manifest
+
+    m = Manifest(df.sparkSession, path)
+    n = (m.read() or {"batches": 0})["batches"]
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/batch={n:08d}")
+    m.commit({"batches": n + 1})
+    return n
+
+
+def appended_records(spark: SparkSession, path: str, key_path: str) -> DataFrame:
+    """key, record, attempts over all appended batches: a later batch wins, then the later line."""
+    from tracemill.sources.manifest import Manifest
+
+    n = (Manifest(spark, path).read() or {"batches": 0})["batches"]
+    return latest_lines(json_lines(spark, ",".join(f"{path}/batch={i:08d}" for i in range(n))), key_path)
+
+
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A file with one top-level array of objects."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
