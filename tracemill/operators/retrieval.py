@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import normal_query
 from tracemill.session import written
 
 #: BM25 constants and the floor of the inverse document frequency (fixed values).
@@ -19,11 +20,12 @@ def latin_tokens(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Distinct tokens in order: Latin words and numbers, Han pairs, and single Han characters that stand alone."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    runs = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+|[\x{4e00}-\x{9fff}]+)"), F.lit(1))
-    pairs = lambda r: F.when((F.ascii(r) < 128) | (F.length(r) == 1), F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2))))
-    return F.array_distinct(F.flatten(F.transform(runs, pairs)))
+    """Distinct tokens of a normal query: Han pairs (a Han character that stands alone by itself), then Latin words and numbers, joined by . _ + - / as they are written."""
+    low = normal_query(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(r"([\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+)"), F.lit(1))
+    pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2))))
+    latin = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:[._+\-/][a-z0-9]+)*"), F.lit(0))
+    return F.array_distinct(F.concat(F.flatten(F.transform(runs, pairs)), latin))
 
 
 def postings(docs: DataFrame, doc: str, fields: dict[str, float], tokens=latin_tokens) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def bm25(docs: DataFrame, doc: str, fields: dict[str, float], queries: DataFrame
     asked = sets.groupBy("set_id").agg(F.first("terms").alias("terms")).select("set_id", F.explode("terms").alias("term"))
     hits = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    scored = hits.join(df, "term").join(sizes, "doc").crossJoin(F.broadcast(stats))  # one row
+    scored = hits.join(df, "term").join(sizes, "doc").crossJoin(stats)  # one row
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(IDF_FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     total = scored.select("term", "doc", part.alias("part")).join(asked, "term").groupBy("set_id", "doc").agg(F.round(F.sum("part"), 6).alias("score"))

@@ -73,9 +73,12 @@ class Scratch:
         self.paths.append(work_path(self.spark, name))
         return self.paths[-1]
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+    def written(self, df: DataFrame, name: str, part: str | None = None, block: int | None = None) -> DataFrame:
+        """As ``written``; with ``part`` a folder for each of its values, with ``block`` row groups of about so many bytes."""
+        path, out = self.path(name), df.write
+        if block:
+            out = out.option("parquet.block.size", block)
+        (out.partitionBy(part) if part else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
