@@ -5,13 +5,12 @@
 * ``keys``: sorted runs of minwise band keys, partitioned by a hash of the key. A row is
   (key, number of the text, size, sketch word); accepted names are rows of their own kind;
 * ``texts``: sketch and plain text of every accepted text, in the order of their numbers;
-* ``judged``: the verdict on every line, a folder for each ingest.
+* ``lines`` and ``accepted``: the lines seen and accepted, a folder for each ingest.
 
 A probe sends the batch's keys to their buckets. The task of a bucket opens only the
 bucket's files, compares its keys with the least and largest key of each block (some
 ``BLOCK`` bytes), and reads the blocks that can hold one of them. Only the texts of
-candidates that pass the size and sketch test are fetched, block by block, through the
-number that says where they lie. So what an ingest reads of the history is bounded by
+candidates are fetched, block by block, through the number that says where they lie. So what an ingest reads of the history is bounded by
 its own keys and candidates, however long the history is; nothing of the history is
 shuffled but those candidates.
 
@@ -27,7 +26,7 @@ scope. Lines are ordered by ``ord``; within a batch:
 * names and texts that meet the history are refused;
 * among the rest every line that comes before all undecided lines it conflicts with
   is accepted, its conflicts are refused, and so on until none is left. That is the
-  greedy order, by parallel rounds or, where a batch has few contested lines, by one task.
+  greedy order, by parallel rounds or, for a batch of at most ``ONE_TASK`` lines, by one task.
 
 A hot band key does not pair its whole group: its first ``LEADERS`` texts meet all, the
 others wait until those are settled. What has been refused by then drops out, and the
@@ -58,16 +57,15 @@ from tracemill.sources.manifest import Manifest
 LEADERS = 64
 #: Batches made ready ahead.
 AHEAD = 1
-#: Contested lines and links of a batch that one task settles; more are settled in parallel rounds, with the same result.
+#: Lines and links of a batch that one task settles; more are settled in parallel rounds, with the same result.
 ONE_TASK = 200_000
 #: A number is generation, writing task and row: bits of the last two.
 _SLOT_BITS, _ROW_BITS = 17, 27
 
-_CLASSES = "tid binary, ord {ord}, scope {scope}, text string, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>, num bigint"
+_CLASSES = "tid binary, ord {ord}, scope {scope}, text string, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>, num bigint, slot int"
 _KEYS = "bucket int, key bigint, num bigint, runs int, word bigint"
-_TEXTS = "num bigint, runs int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string"
-#: What a probe finds: a candidate in the history, one in the batch, a known name, a text that waits, and the bytes it read.
-OLD, NEW, NAME, WAITS, READ = range(5)
+#: What a probe finds: a candidate in the history, one in the batch, a known name, a text that waits, and the bytes it read; LIKE and KNOWN are verified.
+OLD, NEW, NAME, WAITS, READ, LIKE, KNOWN = range(7)
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -114,61 +112,99 @@ def _prober(folders: list[str], leaders: int):
     return probe
 
 
-def _fetcher(texts: str):
-    """Texts of the history for pairs sorted by b; pairs whose sketches are too far apart are dropped."""
-    sketch = ["s0", "s1", "s2", "s3"]
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("text_b", pa.string())])
+def _texts(folder: str, wanted: np.ndarray, columns: list[str]) -> pa.Table:
+    """The wanted texts of one writing task, in the order of their numbers."""
+    parts = []
+    for rows, _ in blocks(folder, "num", wanted, ["num", "s0", "s1", "s2", "s3", "text", *columns]):
+        parts.append(rows.filter(pa.array(np.isin(ints(rows, "num"), wanted))))
+    return pa.concat_tables(parts).sort_by("num") if parts else None
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, rows in grouped(batches, lambda t: ints(t, "b") >> _ROW_BITS):
-            b = ints(rows, "b")
-            folder = f"{texts}/gen={place >> _SLOT_BITS}/slot={place & (2**_SLOT_BITS - 1)}"
-            for old, _ in blocks(folder, "num", b, ["num", "runs", *sketch, "text"]):
-                num = ints(old, "num")
-                lo, hi = np.searchsorted(num, b, "left"), np.searchsorted(num, b, "right")
-                for i, j in expand(lo, hi - lo):
-                    off = sum(np.bitwise_count((ints(rows, c)[i] ^ ints(old, c)[j]).view(np.uint64)).astype(np.int32) for c in sketch)
-                    ok = off <= likeness.SKETCH - likeness.SKETCH_AGREE
-                    yield pa.RecordBatch.from_arrays([pa.array(ints(rows, "a")[i[ok]]), pa.array(b[i[ok]]), old.column("text").combine_chunks().take(pa.array(j[ok]))], schema=out)
 
-    return fetch
+_FOUND_TEXTS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("t", pa.binary()), ("u", pa.binary())])
 
 
-def _walker(links: str):
-    """Walks through contested rows in their order; others pass."""
+def _verifier(own: str, history: str):
+    """Candidate pairs, sorted by the places of their texts, decided on the whole texts; other findings pass.
+
+    The texts of a pair are read block by block from the batch's table and from the
+    history, so no text is shuffled. LIKE rows name both texts of the batch, KNOWN rows the
+    one that the history has.
+    """
+    slot = lambda n: n >> _ROW_BITS & (2**_SLOT_BITS - 1)
+
+    def place(t: pa.Table) -> np.ndarray:
+        return np.where(ints(t, "kind") <= NEW, (ints(t, "b") >> _ROW_BITS << _SLOT_BITS) + slot(ints(t, "a")), -1)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in grouped(batches, place):
+            kind, a, b = (ints(rows, c) for c in ("kind", "a", "b"))
+            if at < 0:
+                nothing = pa.nulls(len(a), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), nothing, nothing], schema=_FOUND_TEXTS)
+                continue
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            old, (a, b) = int(kind[0]) == OLD, pairs.T
+            gen = int(b[0] >> (_ROW_BITS + _SLOT_BITS))
+            x = _texts(f"{own}/slot={slot(int(a[0]))}", np.unique(a), ["tid"])
+            y = _texts(f"{history}/gen={gen}/slot={slot(int(b[0]))}" if old else f"{own}/slot={slot(int(b[0]))}", np.unique(b), [] if old else ["tid"])
+            if x is None or y is None:
+                continue
+            i, j = np.searchsorted(ints(x, "num"), a), np.searchsorted(ints(y, "num"), b)
+            i, j = np.minimum(i, len(x) - 1), np.minimum(j, len(y) - 1)
+            off = sum(np.bitwise_count((ints(x, c)[i] ^ ints(y, c)[j]).view(np.uint64)).astype(np.int32) for c in ("s0", "s1", "s2", "s3"))
+            ok = (ints(x, "num")[i] == a) & (ints(y, "num")[j] == b) & (off <= likeness.SKETCH - likeness.SKETCH_AGREE)
+            left, right, seen, keep = x.column("text"), y.column("text"), {}, np.zeros(len(a), bool)
+            for n in np.flatnonzero(ok):
+                if len(seen) > 20_000:
+                    seen.clear()
+                one, two = (seen[k] if k in seen else seen.setdefault(k, likeness.run_hashes(c[k[1]].as_py())) for k, c in (((0, int(i[n])), left), ((1, int(j[n])), right)))
+                keep[n] = likeness.like_runs(one, two)
+            if old:
+                first = np.unique(i[keep])
+                nums, t, u = ints(x, "num")[first], x.column("tid").take(pa.array(first)), pa.nulls(len(first), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), KNOWN, np.int32)), pa.array(nums), pa.array(nums), t.combine_chunks(), u], schema=_FOUND_TEXTS)
+            else:
+                t, u = x.column("tid").take(pa.array(i[keep])), y.column("tid").take(pa.array(j[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), LIKE, np.int32)), pa.array(a[keep]), pa.array(b[keep]), t.combine_chunks(), u.combine_chunks()], schema=_FOUND_TEXTS)
+
+    return verify
+
+
+def _walker(links: str, met: str | None):
+    """Walks through a batch's lines in their order; ``links`` has its like texts, ``met`` what the history has."""
     out = pa.schema([("name", pa.string()), ("tid", pa.binary()), ("line", pa.int64())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[bytes, list[bytes]] | None = None
-        names, blocked = set(), set()
+        import pyarrow.parquet as pq
+
+        near: dict[bytes, list[bytes]] = {}
+        names, known, blocked = set(), set(), set()
+        started = False
         for batch in batches:
+            if not started:
+                started = True
+                for folder in filter(None, (links, met)):
+                    for f in files(folder):
+                        for r in pq.read_table(f, columns=["kind", "a", "b", "t", "u"]).to_pylist():
+                            if r["kind"] == LIKE:
+                                near.setdefault(r["t"], []).append(r["u"])
+                                near.setdefault(r["u"], []).append(r["t"])
+                            elif r["kind"] == KNOWN:
+                                blocked.add(r["t"])
+                            elif r["kind"] == NAME:
+                                known.add((r["a"], r["b"]))
             keep = []
-            for name, tid, contested in zip(*(batch.column(c).to_pylist() for c in ("name", "tid", "contested")), strict=True):
-                free = True
-                if contested:
-                    if near is None:
-                        near = _neighbours(links)
-                    free = name not in names and tid not in blocked
-                    if free:
-                        names |= {name} - {None}
-                        blocked |= {tid, *near.get(tid, ())} - {None}
+            for name, tid, h, c in zip(*(batch.column(k).to_pylist() for k in ("name", "tid", "h", "c")), strict=True):
+                free = (name is None or (name not in names and (h, c) not in known)) and tid not in blocked
+                if free:
+                    names |= {name} - {None}
+                    blocked |= {tid, *near.get(tid, ())} - {None}
                 keep.append(free)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in out.names], schema=out).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in out.names], schema=out).filter(pa.array(keep, pa.bool_()))
 
     return walk
 
 
-def _neighbours(folder: str) -> dict[bytes, list[bytes]]:
-    import pyarrow.parquet as pq
-
-    out: dict[bytes, list[bytes]] = {}
-    for f in files(folder):
-        for row in pq.read_table(f).to_pylist():
-            out.setdefault(row["t"], []).append(row["u"])
-            out.setdefault(row["u"], []).append(row["t"])
-    return out
-
-
 def _numberer(gen: int):
     """``at``, a writing task and a row, as a number that also names the generation."""
 
@@ -178,7 +214,7 @@ def _numberer(gen: int):
             slot, row = at >> 33, at & (2**33 - 1)
             if len(at) and (slot.max() >= 2**_SLOT_BITS or row.max() >= 2**_ROW_BITS):
                 raise ValueError("a batch has at most 2^17 writing tasks of 2^27 texts")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((gen << (_SLOT_BITS + _ROW_BITS)) + (slot << _ROW_BITS) + row)], names=[*batch.schema.names[:-1], "num"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((gen << (_SLOT_BITS + _ROW_BITS)) + (slot << _ROW_BITS) + row), pa.array(slot.astype(np.int32))], names=[*batch.schema.names[:-1], "num", "slot"])
 
     return number
 
@@ -228,8 +264,8 @@ class AcceptedIndex:
         out = self.judged(*gens) if batches else self.judged().limit(0)
         return out.select(F.col("line").alias(line_id), "accepted")
 
-    def _prepare(self, tmp: Scratch, lines: DataFrame, gen: int, order: list[str], line_id: str, name: str, scope: str, text: str) -> tuple[DataFrame, ...]:
-        """(line numbers, nodes, classes, pairs found within the batch, links among its texts, their folder if one task can settle them)."""
+    def _prepare(self, tmp: Scratch, lines: DataFrame, gen: int, order: list[str], line_id: str, name: str, scope: str, text: str) -> tuple:
+        """(line numbers, nodes, classes, links among its texts, the folders of the last two, whether one task can settle the batch)."""
         plain = likeness.plain(F.col(text))
         rows = lines.select(
             F.struct(*(F.col(c) for c in order)).alias("ord"), F.col(line_id).alias("line"), F.col(name).alias("name"), F.col(scope).alias("scope"),
@@ -243,53 +279,64 @@ class AcceptedIndex:
         classes = nodes.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"), F.first("scope").alias("scope"), F.first("text").alias("text"))
         classes = classes.withColumn("f", likeness.band_features(F.col("text"))).select("tid", "ord", "scope", "text", "f.*", F.monotonically_increasing_id().alias("at"))
         classes = classes.mapInArrow(_numberer(gen), _CLASSES.format(ord=classes.schema["ord"].dataType.simpleString(), scope=classes.schema["scope"].dataType.simpleString()))
-        classes = tmp.written(classes, "classes")
-        found = tmp.written(self._probe(self._keys(classes), []), "found")
-        links, at = self._links(tmp, classes, found)
+        classes = tmp.written(classes, "classes", "slot", self.block)
+        own = tmp.paths[-1]
         nodes = nodes.select("name", "tid", "ord", "line")
-        more = lambda c: nodes.where(F.col(c).isNotNull()).groupBy(c).agg((F.count("*") > 1).alias(f"many_{c}"))
-        linked = links.select(F.col("t").alias("tid"), F.lit(True).alias("linked")).distinct()
-        flag = F.coalesce("many_name", F.lit(False)) | F.coalesce("many_tid", F.lit(False)) | F.coalesce("linked", F.lit(False))
-        nodes = tmp.written(_join(_join(_join(nodes, more("tid"), "tid", "left"), linked, "tid", "left"), more("name"), "name", "left").select("name", "tid", "ord", "line", flag.alias("contested")), "flagged")
-        stats = nodes.where("contested").select(F.lit(0).alias("w")).unionByName(links.select(F.lit(0).alias("w"))).unionByName(found.where(F.col("kind") == WAITS).select(F.lit(1).alias("w")))
-        size, waits = stats.agg(F.count("*"), F.count_if(F.col("w") == 1)).first()
+        links = self._verified(tmp, self._keys(classes), [], own)
+        stats = nodes.select(F.lit(-1).alias("kind")).unionByName(links.select("kind"))
+        size, waits = stats.agg(F.count("*"), F.count_if(F.col("kind") == WAITS)).first()
         small = size <= self.one_task and not waits
-        return lines.select(F.col(line_id).alias("line")).distinct(), nodes, classes, found, links, at if small else None
+        return lines.select(F.col(line_id).alias("line")), nodes, classes, links, own, tmp.paths[-1], small
+
+    def _verified(self, tmp: Scratch, rows: DataFrame, folders: list[str], own: str) -> DataFrame:
+        """What a probe finds, its candidates decided: kind, a, b, and the text ids t, u of LIKE and KNOWN rows."""
+        found = self._probe(rows, folders).repartition(F.shiftright("b", _ROW_BITS), F.shiftright("a", _ROW_BITS))
+        found = found.withColumn("p", F.col("kind") > NEW).sortWithinPartitions("p", F.shiftright("b", _ROW_BITS), F.shiftright("a", _ROW_BITS)).drop("p")
+        return tmp.written(found.mapInArrow(_verifier(own, f"{self.path}/texts"), "kind int, a bigint, b bigint, t binary, u binary"), "found")
 
-    def _take(self, tmp: Scratch, writers: ThreadPoolExecutor, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, found: DataFrame, links: DataFrame, at: str | None, measure: bool) -> None:
+    def _take(self, tmp: Scratch, writers: ThreadPoolExecutor, gen: int, lines: DataFrame, nodes: DataFrame, classes: DataFrame, links: DataFrame, own: str, links_at: str, small: bool, measure: bool) -> None:
         """Judges a prepared batch against the history and within itself, and commits it."""
-        todo, folders = nodes, [r["path"] for r in self.state["runs"]]
+        met, met_at, folders = None, None, [r["path"] for r in self.state["runs"]]
         if folders:
-            met = self._probe(self._keys(classes).unionByName(self._names(nodes)), folders)
+            met = self._verified(tmp, self._keys(classes).unionByName(self._names(nodes)), folders, own)
+            met_at = tmp.paths[-1]
             if measure:
-                met = tmp.written(met, "met")
                 self.bytes_read.append(met.where(F.col("kind") == READ).agg(F.sum("b")).first()[0] or 0)
-            todo = self._unknown(nodes, met, classes)
-        if at:
-            # Uncontested lines pass; the contested ones of a batch, few as counted, are walked through in order.
-            part = F.when(F.col("contested"), 0).otherwise(1 + F.pmod(F.xxhash64("line"), F.lit(1_000_000)))
-            rows = todo.withColumn("part", part).repartition("part").sortWithinPartitions("part", "ord").select("name", "tid", "line", "contested")
-            kept = tmp.written(rows.mapInArrow(_walker(at), "name string, tid binary, line bigint"), "kept")
+        h, c = _name_key("name")
+        kept_at = f"{self.path}/accepted/gen={gen}"
+        if small:
+            rows = nodes.withColumn("one", F.lit(0)).repartition(1, "one").sortWithinPartitions("ord").select("name", "tid", "line", h.alias("h"), c.alias("c"))
+            kept = rows.mapInArrow(_walker(links_at, met_at), "name string, tid binary, line bigint")
         else:
-            todo = tmp.written(todo, "unknown")
-            accepted, todo = [todo.where("not contested").select("name", "tid", "line")], todo.where("contested")
+            todo = nodes
+            if met is not None:
+                known = met.where(F.col("kind") == KNOWN).select(F.col("t").alias("tid")).distinct()
+                names = met.where(F.col("kind") == NAME).select(F.col("a").alias("h"), F.col("b").alias("c"))
+                todo = _join(_join(todo, known, "tid", "left_anti"), names, (h == F.col("h")) & (c == F.col("c")), "left_anti")
+            todo, accepted = tmp.written(todo, "unknown"), []
             while True:
-                won, todo = _greedy(tmp, todo, links, self._waiting(classes, found))
+                both = links.where(F.col("kind") == LIKE).select("t", "u")
+                both = both.unionByName(both.select(F.col("u").alias("t"), F.col("t").alias("u")))
+                waits = _join(links.where(F.col("kind") == WAITS).select(F.col("a").alias("num")), classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits")).distinct()
+                won, todo = _greedy(tmp, todo, both, waits)
                 accepted.append(won.select("name", "tid", "line"))
                 if todo is None:
                     break
                 # What waited behind leaders meets its like: among themselves only, as the leaders' links are complete.
-                own = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"))
-                found = tmp.written(self._probe(self._keys(_join(classes.drop("ord"), own, "tid")), []), "found")
-                links, _ = self._links(tmp, classes, found)
+                first = todo.where("tid is not null").groupBy("tid").agg(F.min("ord").alias("ord"))
+                links = self._verified(tmp, self._keys(_join(classes.drop("ord"), first, "tid")), [], own)
             kept = reduce(DataFrame.unionByName, accepted)
-        self._commit(writers, gen, kept, classes, lines)
+        kept.write.mode("overwrite").parquet(kept_at)
+        self._commit(tmp, writers, gen, self.spark.read.schema(kept.schema).parquet(kept_at), classes, lines)
 
     def judged(self, *gens: int) -> DataFrame:
         """(line, accepted) of the named ingests, or of all."""
-        base = f"{self.path}/judged"
-        paths = [f"{base}/gen={g}" for g in (gens or range(self.state["next"]))]
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], "line bigint, accepted boolean")
+        gens = gens or tuple(range(self.state["next"]))
+        if not gens:
+            return self.spark.createDataFrame([], "line bigint, accepted boolean")
+        read = lambda part: self.spark.read.schema("line bigint, gen int").option("basePath", f"{self.path}/{part}").parquet(*(f"{self.path}/{part}/gen={g}" for g in gens))
+        accepted = read("accepted").select("gen", "line").distinct().withColumn("accepted", F.lit(True))
+        return read("lines").distinct().join(accepted, ["gen", "line"], "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
     def _keys(self, classes: DataFrame) -> DataFrame:
         keys = classes.select("num", "runs", F.col("s0").alias("word"), "ord", "scope", F.explode("keys").alias("k")).select(F.xxhash64("scope", "k").alias("key"), "num", "runs", "word", "ord")
@@ -298,52 +345,23 @@ class AcceptedIndex:
     def _names(self, nodes: DataFrame) -> DataFrame:
         """Names as key rows: a second hash in place of the sketch word, no number, no size."""
         key, word = _name_key("name")
-        own = nodes.where("name is not null").groupBy("name").agg(F.min("ord").alias("ord"))
-        own = own.select(key.alias("key"), F.lit(-1).cast("bigint").alias("num"), F.lit(0).alias("runs"), word.alias("word"), "ord")
+        own = nodes.where("name is not null").select(key.alias("key"), F.lit(-1).cast("bigint").alias("num"), F.lit(0).alias("runs"), word.alias("word"), "ord")
         return own.withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
 
     def _probe(self, rows: DataFrame, folders: list[str]) -> DataFrame:
-        """With folders: what the history has of the rows; without: pairs among the rows, each key's earliest texts first."""
+        """With folders: what the history has of the rows; without: pairs among the rows, each key's earliest texts first. A pair comes once for each key."""
         rows = rows.repartition("bucket").sortWithinPartitions("bucket", "key", "ord").select("bucket", "key", "num", "runs", "word")
-        return rows.mapInArrow(_prober(folders, self.leaders), "kind int, a bigint, b bigint").distinct()
-
-    def _unknown(self, nodes: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
-        """The nodes whose name and text the history does not have."""
-        pairs = _join(met.where(F.col("kind") == OLD).select(F.col("a").alias("num"), "b"), classes.select("num", "s0", "s1", "s2", "s3"), "num")
-        pairs = pairs.withColumnRenamed("num", "a").repartition(F.shiftright("b", _ROW_BITS)).sortWithinPartitions("b")
-        near = pairs.mapInArrow(_fetcher(f"{self.path}/texts"), "a bigint, b bigint, text_b string")
-        both = _join(near, classes.select(F.col("num").alias("a"), "tid", "text"), "a")
-        known = both.where(likeness.are_like("text", "text_b")).select("tid").distinct()
-        name_a, name_b = _name_key("name")
-        names = met.where(F.col("kind") == NAME).select(F.col("a").alias("h"), F.col("b").alias("c"))
-        return _join(_join(nodes, known, "tid", "left_anti"), names, (name_a == F.col("h")) & (name_b == F.col("c")), "left_anti")
-
-    def _links(self, tmp: Scratch, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
-        """Both directions (t, u) of the like pairs within a batch, and the folder of one direction."""
-        by_num = classes.select(F.col("num").alias("tid"), "runs", "s0", "s1", "s2", "s3", "text")
-        links = likeness.verified(found.where(F.col("kind") == NEW).select("a", "b"), by_num, by_num)
-        ids = classes.select("num", "tid")
-        links = _join(_join(links, ids.select(F.col("num").alias("a"), F.col("tid").alias("t")), "a"), ids.select(F.col("num").alias("b"), F.col("tid").alias("u")), "b").select("t", "u")
-        at = tmp.path("links")
-        links.write.parquet(at)
-        links = self.spark.read.schema(links.schema).parquet(at)
-        return links.unionByName(links.select(F.col("u").alias("t"), F.col("t").alias("u"))), at
-
-    def _waiting(self, classes: DataFrame, found: DataFrame) -> DataFrame:
-        return _join(found.where(F.col("kind") == WAITS).select(F.col("a").alias("num")), classes.select("num", "tid"), "num").select("tid", F.lit(True).alias("waits"))
-
-    def _commit(self, writers: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
-        fresh = _join(classes, kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi")
-        texts = fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", F.expr(f"shiftright(num, {_ROW_BITS}) & {2**_SLOT_BITS - 1}").cast("int").alias("slot"))
+        return rows.mapInArrow(_prober(folders, self.leaders), "kind int, a bigint, b bigint")
+
+    def _commit(self, tmp: Scratch, writers: ThreadPoolExecutor, gen: int, kept: DataFrame, classes: DataFrame, lines: DataFrame) -> None:
+        fresh = tmp.written(_join(classes, kept.select("tid").where("tid is not null").distinct(), "tid", "left_semi"), "fresh")
         run = f"{self.path}/keys/run-{gen}-0"
         keys = self._keys(fresh).drop("ord").unionByName(self._names(kept.withColumn("ord", F.lit(0))).drop("ord"))
-        verdict = kept.select("line").distinct().withColumn("accepted", F.lit(True))
-        judged = _join(lines, verdict, "line", "left").select("line", F.coalesce("accepted", F.lit(False)).alias("accepted"))
         jobs = [
-            writers.submit(write_run, texts, f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
+            writers.submit(write_run, fresh.select("num", "runs", "s0", "s1", "s2", "s3", "text", "slot"), f"{self.path}/texts/gen={gen}", "slot", "num", self.block),
             writers.submit(write_run, keys, run, "bucket", "key", self.block),
         ]
-        judged.write.mode("overwrite").parquet(f"{self.path}/judged/gen={gen}")
+        lines.write.mode("overwrite").parquet(f"{self.path}/lines/gen={gen}")
         for job in jobs:
             job.result()
         runs, merged = [*self.state["runs"], {"path": run, "level": 0}], []
