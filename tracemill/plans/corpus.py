@@ -196,7 +196,7 @@ def model_numbers(spark, sf):
     return d.select("doc_id", F.size(own).alias("models"))
 
 
-_HAN = """r as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]+')) as r from documents where text is not null),
+_HAN = """r as (select doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(lower(text), '人民币|块钱', '元', 'g'), '([0-9])\\s*(?:rmb|cny|yuan)\\b', '\\1元', 'g'), '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]+')) as r from documents where text is not null),
 h as (select doc_id, case when length(r) = 1 then r else substr(r, i::bigint, 2) end as t from (select doc_id, r, unnest(range(1, greatest(length(r), 2))) as i from r))"""
 
 
