@@ -136,6 +136,7 @@ def _verifier(own: str, history: str):
         return np.where(ints(t, "kind") <= NEW, (ints(t, "b") >> _ROW_BITS << _SLOT_BITS) + slot(ints(t, "a")), -1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}  # runs of texts by number; the batch's own meet many places of the history
         for at, rows in grouped(batches, place):
             kind, a, b = (ints(rows, c) for c in ("kind", "a", "b"))
             if at < 0:
@@ -153,11 +154,11 @@ def _verifier(own: str, history: str):
             i, j = np.minimum(i, len(x) - 1), np.minimum(j, len(y) - 1)
             off = sum(np.bitwise_count((ints(x, c)[i] ^ ints(y, c)[j]).view(np.uint64)).astype(np.int32) for c in ("s0", "s1", "s2", "s3"))
             ok = (ints(x, "num")[i] == a) & (ints(y, "num")[j] == b) & (off <= likeness.SKETCH - likeness.SKETCH_AGREE)
-            left, right, seen, keep = x.column("text"), y.column("text"), {}, np.zeros(len(a), bool)
+            left, right, keep = x.column("text"), y.column("text"), np.zeros(len(a), bool)
             for n in np.flatnonzero(ok):
                 if len(seen) > 20_000:
                     seen.clear()
-                one, two = (seen[k] if k in seen else seen.setdefault(k, likeness.run_hashes(c[k[1]].as_py())) for k, c in (((0, int(i[n])), left), ((1, int(j[n])), right)))
+                one, two = (seen[k] if k in seen else seen.setdefault(k, likeness.run_hashes(c[at].as_py())) for k, c, at in ((int(a[n]), left, int(i[n])), (int(b[n]), right, int(j[n]))))
                 keep[n] = likeness.like_runs(one, two)
             if old:
                 first = np.unique(i[keep])
