@@ -4,6 +4,8 @@ import os
 import random
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ import brute  # noqa: E402
 
 from tracemill.llm import history_index as hi, likeness as lk, near_copies as nc  # noqa: E402
 from tracemill.session import Scratch, ship_package, work_path  # noqa: E402
+from tracemill.sources import blocks  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta 商品 核对 预算 尺寸 颜色 退货 warm cold large small".split()
 
@@ -116,6 +119,54 @@ def test_history_is_probed_not_read(spark):
     assert index.ingest([one], *COLUMNS).first()[1] is False
 
 
+@pytest.mark.parametrize(("leaders", "one_task"), [(64, 10**6), (64, 0), (1, 10**6)])
+def test_history_in_parts_and_merged(spark, monkeypatch, leaders, one_task):
+    """Buckets probed in several parts, runs merged in between: still line by line."""
+    monkeypatch.setattr(hi, "TASK_TEXTS", 10)
+    data = [(i // 15, *x[1:]) for i, x in enumerate(lines(17))]
+    df = spark.createDataFrame(data, SCHEMA)
+    index = hi.AcceptedIndex(spark, work_path(spark, "accepted"), buckets=2, block=1024, leaders=leaders, one_task=one_task)
+    out = index.ingest([df.where(F.col("batch_no") == b) for b in range(10)], *COLUMNS).collect()
+    assert len(out) == len(data) and {x[0] for x in out if not x[1]} == brute.refused(data)
+    assert any(r["level"] for r in index.state["runs"])
+
+
+def test_described_equals_single_signatures():
+    ts = ["one two three four five".replace(" ", ""), "商品核对预算尺寸颜色", "x" * 40]
+    runs, words, keys = lk.described(pa.array(ts), np.array([5, 5, -7]))
+    for t, n, w in zip(ts, runs, words, strict=True):
+        own = lk.run_hashes(t)
+        assert n == len(own) and (lk.sketch(lk.signature(own)) == w).all()
+    again = lk.described(pa.array([ts[0], ts[0]]), np.array([5, 6]))[2]
+    assert (again[0] == keys[0]).all() and not (again[1] == keys[0]).any() and keys.min() >= 0 and keys.max() < 2**32
+
+
+def test_merged_slices(tmp_path):
+    rnd, want = random.Random(5), []
+    for k in range(3):
+        values = sorted(rnd.randint(-50, 50) for _ in range(500))
+        want += values
+        with blocks.file_writer(f"file://{tmp_path}/{k}/a.parquet") as out:
+            out(pa.table({"key": values}), 20)
+    slices = [t.column("key").to_pylist() for t in blocks.merged_slices([f"file://{tmp_path}/{k}" for k in range(4)], "key", 100)]
+    assert sum(slices, []) == sorted(want) and len(slices) > 5 and max(map(len, slices)) < 250
+
+
+def test_backlog_costs_jobs_by_lines_not_by_batches(spark, tmp_path, monkeypatch):
+    """120 batches of a few lines: two ingests, whose jobs don't grow with the number of batches."""
+    from tracemill.llm import queries
+
+    assert queries._ingests([(3, 5), (None, 4), (1, 5), (2, 30), (0, 2)], 11) == [[None, 0, 1], [2], [3]]
+    data = [((i // 3) - 1 if i >= 3 else None, *x[1:]) for i, x in enumerate(lines(23, 360))]
+    schema = SCHEMA.replace(" fam ", " replacement_family_id ")
+    spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{tmp_path}/proposal_ledger.parquet")
+    monkeypatch.setattr(queries, "INGEST_LINES", 200)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    assert {r[0] for r in queries.p1_found(spark, str(tmp_path)).collect()} == brute.refused(data)
+    assert 0 < jobs() - before < 100
+
+
 def test_recall_of_signatures():
     """Pairs at about 0.6 to 0.7: bands, deletion variants and sketches lose none of 400."""
     rnd, lost, n = random.Random(3), 0, 0

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +106,20 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">i8")
 
 
+def described(texts: pa.Array, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of runs, the sketch's four words, a key of 32 bits for each band) of plain texts; a text's keys are salted, so that only texts of one salt meet."""
+    _, _, c, k = _constants()
+    runs, sig = np.zeros(len(texts), np.int32), np.empty((len(texts), POSITIONS), np.uint64)
+    for i, text in enumerate(texts.to_pylist()):
+        own = run_hashes(text)
+        runs[i], sig[i] = len(own), signature(own)
+    words = np.packbits((_mix(sig[:, :SKETCH]) >> np.uint64(63)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+    n = BANDS * BAND_ROWS
+    terms = _mix(sig[:, :n] * c[:n]).reshape(-1, BANDS, BAND_ROWS)
+    keys = _mix(terms.sum(axis=2, dtype=np.uint64) + k[:BANDS])
+    return runs, words, (_mix(keys ^ _mix(salts.view(np.uint64))[:, None]) & np.uint64(_M)).astype(np.int64)
+
+
 _FEATURES = T.StructType(
     [
         T.StructField("runs", T.IntegerType()),

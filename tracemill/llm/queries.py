@@ -12,17 +12,39 @@ from tracemill.session import Scratch, work_path, written
 from tracemill.sources.tables import table
 
 
+#: Lines that are taken in together: whole batches, one after another; a larger batch is an ingest of its own.
+INGEST_LINES = 200_000
+
+
+def _ingests(sizes: list[tuple[int | None, int]], most: int) -> list[list[int | None]]:
+    """Batches (number, lines) in their order, those that follow each other together while they have at most ``most`` lines."""
+    out: list[list[int | None]] = []
+    held = 0
+    for batch, n in sorted(sizes, key=lambda x: (x[0] is not None, x[0])):
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(batch)
+        held += n
+    return out
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    """(ledger_row, accepted): the batches go into an index one after another, each by its own ingest."""
+    """(ledger_row, accepted): the backlog goes into an index batch after batch, in ingests of up to INGEST_LINES lines."""
     columns = ["batch_no", "ledger_row", "candidate_id", "replacement_family_id", "content"]
+    lines = table(spark, sf, "proposal_ledger").select(*columns)
+    ingests = _ingests([tuple(r) for r in lines.groupBy("batch_no").count().collect()], INGEST_LINES)  # a row for each batch
     with Scratch(spark) as tmp:
-        # Laid out by batch once, so that an ingest reads its own lines only.
-        path = tmp.path("arrived")
-        table(spark, sf, "proposal_ledger").select(*columns).repartition("batch_no").write.partitionBy("batch_no").parquet(path)
-        lines = spark.read.parquet(path).select(*(F.col(c).cast("int") if c == "batch_no" else F.col(c) for c in columns))
-        batches = sorted((r[0] for r in lines.select("batch_no").distinct().collect()), key=lambda b: (b is not None, b))  # a row for each batch
         index = history_index.AcceptedIndex(spark, work_path(spark, "accepted"))
-        parts = [lines.where(F.col("batch_no").eqNullSafe(F.lit(b))) for b in batches]
+        if len(ingests) > 1:
+            # Laid out by ingest once, so that each reads its own lines only.
+            path, ends = tmp.path("arrived"), [group[-1] for group in ingests[:-1]]
+            after = reduce(lambda x, y: x + y, [F.coalesce(F.col("batch_no") > F.lit(end), F.lit(end is None) & F.col("batch_no").isNotNull()).cast("int") for end in ends])
+            lines.withColumn("ingest", after).write.partitionBy("ingest").parquet(path)
+            lines = spark.read.schema(lines.withColumn("ingest", after).schema).parquet(path)
+            parts = [lines.where(F.col("ingest") == i).drop("ingest") for i in range(len(ingests))]
+        else:
+            parts = [lines] * len(ingests)
         index.ingest(parts, ["batch_no", "ledger_row"], "ledger_row", "candidate_id", "replacement_family_id", "content")
     return index.judged().select(F.col("line").alias("ledger_row"), "accepted")
 

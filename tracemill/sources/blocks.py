@@ -8,7 +8,9 @@ is read follows the keys that are asked for, and nothing of the store is shuffle
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +74,15 @@ def files(folder: str) -> Iterator[pa.NativeFile]:
                 yield f
 
 
-def blocks(folder: str, column: str, wanted: np.ndarray, columns: list[str]) -> Iterator[tuple[pa.Table, int]]:
-    """(rows, bytes read) of a folder's blocks that can hold one of the sorted wanted values."""
+def blocks(folder: str, column: str, wanted: np.ndarray, columns: list[str], at_once: int = 1) -> Iterator[tuple[pa.Table, int]]:
+    """(rows, bytes read) of a folder's blocks that can hold one of the sorted wanted values, up to ``at_once`` blocks of a file together."""
     import pyarrow.parquet as pq
 
     for f in files(folder):
         file = pq.ParquetFile(f)
         meta = file.metadata
         at = meta.schema.to_arrow_schema().get_field_index(column)
+        due, size = [], 0
         for i in range(meta.num_row_groups):
             group = meta.row_group(i)
             stats = group.column(at).statistics
@@ -87,7 +90,76 @@ def blocks(folder: str, column: str, wanted: np.ndarray, columns: list[str]) ->
                 lo, hi = np.searchsorted(wanted, stats.min, "left"), np.searchsorted(wanted, stats.max, "right")
                 if lo == hi:
                     continue
-            yield file.read_row_group(i, columns=columns), group.total_byte_size
+            due.append(i)
+            size += group.total_byte_size
+            if len(due) == at_once:
+                yield file.read_row_groups(due, columns=columns), size
+                due, size = [], 0
+        if due:
+            yield file.read_row_groups(due, columns=columns), size
+
+
+@contextmanager
+def file_writer(path: str) -> Iterator[Callable[[pa.Table, int], None]]:
+    """Gets tables and the rows of their blocks; the file is there under its name once all is written, and not at all without a table."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    system, inner = pafs.FileSystem.from_uri(path)
+    part, open_ = f"{inner}.{uuid.uuid4().hex}", []
+
+    def write(table: pa.Table, rows: int) -> None:
+        if not open_:
+            system.create_dir(inner.rpartition("/")[0], recursive=True)
+            open_.append(pq.ParquetWriter(part, table.schema, filesystem=system, compression="zstd", use_dictionary=False))
+        open_[0].write_table(table, row_group_size=rows)
+
+    try:
+        yield write
+    except BaseException:
+        if open_:
+            open_[0].close()
+            system.delete_file(part)
+        raise
+    if open_:
+        open_[0].close()
+        if system.get_file_info(inner).type != pafs.FileType.NotFound:
+            system.delete_file(inner)
+        system.move(part, inner)
+
+
+def merged_slices(folders: list[str], column: str, rows: int = 1_000_000) -> Iterator[pa.Table]:
+    """All rows of the folders' files, each sorted by ``column``, in its order and in slices of about ``rows``."""
+    import pyarrow.parquet as pq
+
+    groups = []
+    for folder in folders:
+        for f in files(folder):
+            meta = pq.ParquetFile(f).metadata
+            at = meta.schema.to_arrow_schema().get_field_index(column)
+            groups += [(meta.row_group(i).column(at).statistics.min, meta.row_group(i).num_rows) for i in range(meta.num_row_groups)]
+    groups.sort()
+    cuts, n = [], 0
+    for least, size in groups:
+        if n + size > rows and n and (not cuts or least > cuts[-1]):
+            cuts.append(least)
+            n = 0
+        n += size
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        parts = []
+        # Blocks from lo to below hi: the bounds themselves serve as the wanted values' ends.
+        for folder in folders:
+            for f in files(folder):
+                file = pq.ParquetFile(f)
+                at = file.metadata.schema.to_arrow_schema().get_field_index(column)
+                stats = [file.metadata.row_group(i).column(at).statistics for i in range(file.metadata.num_row_groups)]
+                due = [i for i, s in enumerate(stats) if (hi is None or s.min < hi) and (lo is None or s.max >= lo)]
+                if due:
+                    table = file.read_row_groups(due)
+                    value = ints(table, column)
+                    parts.append(table.filter(pa.array((value >= lo if lo is not None else True) & (value < hi if hi is not None else np.ones(len(value), bool)))))
+        if parts:
+            yield pa.concat_tables(parts).sort_by(column)
 
 
 def expand(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
