@@ -57,9 +57,11 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import likeness
 from tracemill.session import Scratch, hadoop_path
-from tracemill.sources.blocks import BLOCK, FANOUT, blocks, expand, file_writer, files, grouped, ints, merge_due, merged_slices
+from tracemill.sources.blocks import FANOUT, blocks, expand, file_writer, files, grouped, ints, merge_due, merged_slices
 from tracemill.sources.manifest import Manifest
 
+#: Bytes of a block, the unit that a probe reads.
+BLOCK = 256 * 1024
 #: Texts of one band key that meet all others at a time.
 LEADERS = 64
 #: Batches made ready ahead.
@@ -220,10 +222,10 @@ def _finder(own: str, nodes: str, history: str, folders: list[str], buckets: int
             for old, size in blocks(f"{folder}/bucket={bucket}", "key", wanted, ["key", "num", "runs", "word"], 64):
                 read += size
                 o_key, o_num, o_runs, o_word = (ints(old, c) for c in ("key", "num", "runs", "word"))
-                # The larger side is gone through once, by the sorted keys of the smaller.
-                lo, hi = np.searchsorted(key, o_key, "left"), np.searchsorted(key, o_key, "right")
-                for j, i in expand(lo, np.where(o_runs > 0, hi - lo, 0)):
-                    i = at[i]
+                lo = np.searchsorted(key, o_key, "left")
+                met = np.flatnonzero((key[np.minimum(lo, len(key) - 1)] == o_key) & (o_runs > 0)) if len(key) else lo[:0]
+                for j, i in expand(lo[met], np.searchsorted(key, o_key[met], "right") - lo[met]):
+                    i, j = at[i], met[j]
                     ok = np.flatnonzero(_sizes_agree(runs[i], o_runs[j]))
                     ok = ok[_off(word[i[ok]], o_word[j[ok]]) <= 64 - likeness.WORD_AGREE]
                     if len(ok):
@@ -361,14 +363,16 @@ def _run_writer(own: str, kept: str, to: str, buckets: int, parts: int, block: i
             names = _bucket_names(kept, bucket, buckets, part, parts)
             n, rows = len(names), len(key) + len(names)
             if rows:
+                keys = np.concatenate([key, names[:, 0]])
+                order = np.argsort(keys, kind="stable")
                 table = pa.table({
-                    "key": np.concatenate([key, names[:, 0]]),
-                    "num": np.concatenate([texts["num"][at], np.full(n, -1)]),
-                    "runs": np.concatenate([texts["runs"][at], np.zeros(n, np.int64)]).astype(np.int32),
-                    "word": np.concatenate([texts["s0"][at], names[:, 1]]),
+                    "key": keys[order],
+                    "num": np.concatenate([texts["num"][at], np.full(n, -1)])[order],
+                    "runs": np.concatenate([texts["runs"][at], np.zeros(n, np.int64)]).astype(np.int32)[order],
+                    "word": np.concatenate([texts["s0"][at], names[:, 1]])[order],
                 })
                 with file_writer(f"{to}/bucket={bucket}/part-{part}.parquet") as out:
-                    out(table.sort_by("key"), max(1, block // _ROW))
+                    out(table, max(1, block // _ROW))
             yield pa.RecordBatch.from_pydict({"rows": pa.array([rows])})
 
     return write
